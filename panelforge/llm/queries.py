@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.llm.contamination import find_leaks, remove_leaks
+from panelforge.llm.encoding import garbled_records
 from panelforge.llm.frequency import term_frequencies
 from panelforge.llm.packing import pack_documents
 from panelforge.llm.reservoir import sample_distinct
@@ -89,8 +90,16 @@ def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garbled_records(table(spark, sf_dir, "documents"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_restored(spark, sf_dir).select("doc_id")
+
+
 QUERIES = {"p2_article_sample": p2_article_sample, "p3_found": p3_found, "p3_token_counts": p3_token_counts, "p4_found": p4_found, "p4_ranked": p4_ranked,
-           "p6_packing": p6_packing, "p6_fill": p6_fill, "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_clean": p7_clean}
+           "p6_packing": p6_packing, "p6_fill": p6_fill, "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_clean": p7_clean, "p8_found": p8_found, "p8_restored": p8_restored}
 
 _TERMS = """
 WITH words AS (SELECT term_id, upper(trim(token)) AS token FROM lda_vocabulary WHERE token IS NOT NULL),
