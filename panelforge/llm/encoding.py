@@ -190,16 +190,18 @@ class NgramModel:
         self._start()
 
     def _trigram(self, text: str) -> float:
-        codes = _codes([text])[2:-2]
-        a, b, c = codes.tolist()
-        if max(a, b, c) <= 127:
+        """Log probability of one trigram; in plain integers, as arrays of three cost more than the arithmetic."""
+        if text.isascii():
             return 0.0
-        pairs = self.two[_buckets(codes, 2)].astype(float)
-        by_pairs = pairs[0] * pairs[1] / max(float(self.one[b]), 1.0)
-        by_class = float(self.classes[_buckets(codes, 0)][0]) + 1e-3
+        a, b, c = (min(48 if 48 <= n <= 57 else 32 if 9 <= n <= 13 else n, 0xFFFF) for n in map(ord, text))
+        pair = lambda x, y: float(self.two[((x * 0x9E3779B1) ^ (y * 0x85EBCA77)) % BUCKETS[2]])
+        seen = float(self.three[((a * 0x9E3779B1) ^ (b * 0x85EBCA77) ^ (c * 0xC2B2AE3D)) % BUCKETS[3]])
+        by_pairs = pair(a, b) * pair(b, c) / max(float(self.one[b]), 1.0)
+        table = _class_table()
+        by_class = float(self.classes[(int(table[a]) * CLASSES + int(table[b])) * CLASSES + int(table[c])]) + 1e-3
         for code in (a, b, c):
             by_class *= float(self.share[code])
-        return math.log((0.8 * float(self.three[_buckets(codes, 3)][0]) + 0.1 * by_pairs + 0.1 * by_class) / self.total)
+        return math.log((0.8 * seen + 0.1 * by_pairs + 0.1 * by_class) / self.total)
 
     def score(self, text: str) -> float:
         """Sum of the log probabilities of the trigrams of `text` that have a character beyond ASCII."""
