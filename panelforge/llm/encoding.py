@@ -268,8 +268,8 @@ def _after(text: str, end: int) -> str:
 
 # ---- over a corpus
 
-#: Gain, in natural log units, beyond which a record is kept out of training and validation.
-DOUBTFUL = 15.0
+#: Gain, in natural log units, beyond which a record is kept out of training: low, as leaving out a clean record costs little.
+DOUBTFUL = 5.0
 #: The margin is never below this, as a small corpus shows too few clean names to validate it.
 LEAST_MARGIN = 25.0
 #: One of so many records is held out of training, to validate the margin.
@@ -290,8 +290,8 @@ def _usable(text: str) -> bool:
     return LOST not in text and not CONTROL.search(text)
 
 
-def _doubtful(text: str, model: NgramModel) -> bool:
-    return not text.isascii() and any(gain > DOUBTFUL for *_, gain in best_restorations(text, model))
+def _doubtful(text: str, model: NgramModel, above: float = DOUBTFUL) -> bool:
+    return not text.isascii() and any(gain > above for *_, gain in best_restorations(text, model))
 
 
 def train(read: DataFrame, clean_by: NgramModel | None = None) -> NgramModel:
@@ -340,7 +340,7 @@ def _trials(text: str, model: NgramModel) -> Iterator[tuple[int, float]]:
 def validated_margin(read: DataFrame, model: NgramModel) -> float:
     """The gain halfway between the greatest of clean stretches and the lowest percentile of misread ones, over all held-out records.
 
-    At least `LEAST_MARGIN`, also where there is nothing to validate on. Doubtful records are left out.
+    At least `LEAST_MARGIN`, also where there is nothing to validate on. Records that gain more than it are left out.
     """
     shared = read.sparkSession.sparkContext.broadcast(model)
 
@@ -348,7 +348,7 @@ def validated_margin(read: DataFrame, model: NgramModel) -> float:
         seen = np.zeros((2, 300), dtype=np.int64)
         for batch in batches:
             for text in batch.column("t").to_pylist():
-                if not text.isascii() and _usable(text) and not _doubtful(text, shared.value):
+                if not text.isascii() and _usable(text) and not _doubtful(text, shared.value, LEAST_MARGIN):
                     for kind, gain in _trials(text, shared.value):
                         seen[kind, int(min(199, max(-100, gain))) + 100] += 1
         kind, bucket = np.nonzero(seen)
