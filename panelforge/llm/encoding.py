@@ -160,10 +160,16 @@ def _buckets(codes: np.ndarray, order: int) -> np.ndarray:
     return ((a * 0x9E3779B1) ^ (b * 0x85EBCA77) ^ (c * 0xC2B2AE3D)) % BUCKETS[3]
 
 
-def count_ngrams(texts: list[str]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """(buckets, counts) of the texts by order."""
+def count_ngrams(texts: list[str], sums: dict[int, np.ndarray]) -> None:
+    """Adds the n-grams of the texts to the counts by order; trigrams beyond ASCII are few in a batch, so only these are sorted."""
     codes = _codes(texts)
-    return {n: np.unique(_buckets(codes, n), return_counts=True) for n in BUCKETS}
+    for n, size in BUCKETS.items():
+        buckets = _buckets(codes, n)
+        if n == 3:
+            at, times = np.unique(buckets, return_counts=True)
+            sums[n][at] += times
+        else:
+            sums[n] += np.bincount(buckets, minlength=size)
 
 
 class NgramModel:
@@ -306,8 +312,7 @@ def train(read: DataFrame, clean_by: NgramModel | None = None) -> NgramModel:
         sums = {n: np.zeros(size, dtype=np.int64) for n, size in BUCKETS.items()}
         for batch in batches:
             texts = [t for t in batch.column("t").to_pylist() if _usable(t) and not (earlier and _doubtful(t, earlier.value))]
-            for n, (buckets, times) in count_ngrams(texts).items():
-                sums[n][buckets] += times
+            count_ngrams(texts, sums)
         for n, counts in sums.items():
             at = np.flatnonzero(counts)
             yield pa.record_batch({"kind": np.full(len(at), n, dtype=np.int8), "bucket": at.astype(np.int32), "n": counts[at]})
