@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 WORD = re.compile("[a-z0-9]+")
 
@@ -177,6 +178,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id"
     """
     out = T.StructType([T.StructField("item_id", items.schema[item_id].dataType), T.StructField("doc_id", documents.schema[doc_id].dataType),
                         T.StructField("longest_words", T.IntegerType()), T.StructField("item_words", T.IntegerType())])
+    kinds = [to_arrow_type(f.dataType) for f in out.fields]
     spark, result = documents.sparkSession, documents.sparkSession.createDataFrame([], out)
     read = documents.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).where("d is not null and t is not null")
     for automaton in _automata(items, item_id, text, min_words, block_words):
@@ -188,9 +190,8 @@ def find_leaks(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id"
                 rows = [(known.ids[i], d, n, known.sizes[i]) for d, t in zip(batch.column("d").to_pylist(), batch.column("t").to_pylist(), strict=True)
                         for i, n in known.scan(words_of(t))[0].items()]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["item_id", "doc_id", "longest_words", "item_words"]).cast(schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=out.names)
 
-        schema = pa.schema([("item_id", pa.int64()), ("doc_id", pa.int64()), ("longest_words", pa.int32()), ("item_words", pa.int32())])
         result = result.union(read.mapInArrow(scan, out))
     return result.groupBy("item_id", "doc_id").agg(F.max("longest_words").alias("longest_words"), F.max("item_words").alias("item_words"))
 
@@ -233,6 +234,7 @@ def remove_leaks(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_i
     """
     out = T.StructType([T.StructField("doc_id", documents.schema[doc_id].dataType), T.StructField("clean_text", T.StringType()),
                         T.StructField("leaked_words", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("drop", T.BooleanType())])
+    kinds = [to_arrow_type(f.dataType) for f in out.fields]
     context = documents.sparkSession.sparkContext
     shared = [context.broadcast(a) for a in _automata(items, item_id, text, min_words, block_words)]
 
@@ -246,7 +248,7 @@ def remove_leaks(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_i
                     clean, n = cut_spans(t, spans)
                     rows.append((d, clean, n, len(words), n > max_coverage * len(words)))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=out.names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=out.names)
 
     read = documents.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).where("d is not null and t is not null")
     return read.mapInArrow(cut, out)

@@ -417,6 +417,6 @@ def garbled_records(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
                 if chains or lost:
                     rows.append((d, restored, ", ".join(chains), gain, lost))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((None, pa.string(), pa.string(), pa.float64(), pa.int64()))], names=out.names)
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((batch.schema.field("d").type, pa.string(), pa.string(), pa.float64(), pa.int64()))], names=out.names)
 
     return _rows(read, None).mapInArrow(find, out)

@@ -87,6 +87,13 @@ def test_empty_tables(spark):
     assert remove_leaks(d.limit(0), i).collect() == [] and remove_leaks(d, i.limit(0)).collect() == []
 
 
+def test_ids_of_other_types(spark):
+    d = spark.createDataFrame([("d1", "alpha beta")], "doc_id string, text string")
+    i = spark.createDataFrame([(7, "Alpha, beta")], "item_id int, text string")
+    assert [tuple(r) for r in find_leaks(d, i).collect()] == [(7, "d1", 2, 2)]
+    assert [r.doc_id for r in remove_leaks(d, i).collect()] == ["d1"]
+
+
 def test_cut_spans():
     assert cut_spans("One two, THREE four. Five", [(1, 3), (2, 4)]) == ("One . Five", 3)
     assert cut_spans("İİ a bb ccc", [(1, 3)])[0].endswith(" ccc") or cut_spans("İİ a bb ccc", [(1, 3)])[1] == 2
