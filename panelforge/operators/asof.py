@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from panelforge.operators.coverage import NEVER
 from panelforge.operators.grouping import group_starts, whole_groups
+from panelforge.storage import materialize
 
 MICROS_A_DAY = 86_400_000_000
 
@@ -35,11 +36,11 @@ def latest_versions(events: DataFrame, versions: DataFrame, entity: str, day: st
     A version can answer from the later of its first valid and its first known day on, so both conditions are one range.
     Events and versions are co-grouped by entity and time shard: an entity's events are at most `shard_days` days in a
     shard, its versions at most one for each pair of days there, as both are reduced before the shuffle, and no group
-    grows with the rows. In a group the versions are laid over one another in order of priority, and a binary search
+    grows with the rows. The distinct event days are written once, as their span is needed before the plan. In a group the versions are laid over one another in order of priority, and a binary search
     over the bounds left finds the version of every event day, for all groups of an Arrow table at once.
     """
     spec, prio = versions.schema, list(priority)
-    asked = events.select(F.col(entity).alias("_e"), F.unix_date(F.col(day)).alias("_s")).dropna().distinct()
+    asked = materialize(events.select(F.col(entity).alias("_e"), F.unix_date(F.col(day)).alias("_s")).dropna().distinct(), "asked-days")
     span = asked.agg(F.min("_s"), F.max("_s")).first()
     first, last = (span[0], span[1]) if span[0] is not None else (0, -1)
     shard = lambda c: F.floor(c / F.lit(shard_days)).cast("int")
