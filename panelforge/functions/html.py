@@ -157,3 +157,15 @@ def column_for_key(html: str | None, key_header: str, value_header: str, key: st
         elif places and len(cells) > max(places) and upper[places[0]] == key.upper():
             return cells[places[1]]
     return None
+
+
+def labelled_text(html: str | None, label: str, label_class: str = "infoHead", value_class: str = "info") -> str | None:
+    """Text of the first element of `value_class` behind the one of `label_class` whose text is `label`, both children of one element."""
+    for parent in parse(html or "").walk():
+        wanted = False
+        for child in (c for c in parent.children if isinstance(c, Node)):
+            names, text = child.attrs.get("class", ""), re.sub(r"\s+", " ", child.text()).strip()
+            if wanted and value_class in names and label_class not in names:
+                return text
+            wanted = wanted or label_class in names and text == label
+    return None

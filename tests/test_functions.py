@@ -62,3 +62,5 @@ def test_article_text(spark):
     assert column(spark, [page, None], html.visible_text) == [found, None]
     table = "<table><tr><th>Ticker</th><th>CIK</th></tr><tr><td>ABC</td><td>000 123</td></tr></table>"
     assert html.column_for_key(table, "ticker", "cik", "abc") == "000 123"
+    form = '<div><div class="infoHead">Filing Date</div><div class="info">2020-01-02</div><div class="infoHead">Items</div><div class="info">Item 1.01: x</div></div>'
+    assert html.labelled_text(form, "Filing Date") == "2020-01-02" and html.labelled_text(form, "Items") == "Item 1.01: x" and html.labelled_text(form, "None") is None
