@@ -96,7 +96,7 @@ def _summed(width: int):
 
 
 def term_frequencies(postings: DataFrame, vocabulary: DataFrame, *, corpus: str, record: str, term: str, count: str, token: Column,
-                     rare_below: int = 5, common_percent: int = 30, width: int = 256, held: int = 4096) -> DataFrame:
+                     rare_below: int = 5, common_percent: int = 30, width: int = 256, held: int = 4096, broadcast_terms: int = 500_000) -> DataFrame:
     """(corpus, token, global_term_count, document_frequency, n_records, mark) of every token that occurs, by corpus.
 
     A posting counts if none of its columns is null, its count is at least 1 and its term is in `vocabulary`, where `token`
@@ -108,16 +108,19 @@ def term_frequencies(postings: DataFrame, vocabulary: DataFrame, *, corpus: str,
     combine before each shuffle, so neither a hot term nor a hot record gathers in one task. Each partition then adds its
     rows up in arrays over blocks of `width` identifiers (occurrences, and records that hold the term), and the arrays,
     not the postings, are shuffled and summed by identifier range. An identifier that every record holds gives the corpus's
-    size in the same pass. The dictionary is joined as a broadcast only where Spark knows that its files are small.
+    size in the same pass. The dictionary's two integers a term are broadcast if it has at most `broadcast_terms` (some 20 MB),
+    else postings and dictionary are joined by a shuffle.
     """
     dictionary = term_dictionary(vocabulary, term, token)
+    codes = dictionary.select("term", "token_id")
+    codes = F.broadcast(codes) if dictionary.count() <= broadcast_terms else codes
     once = (
         postings.select(F.col(corpus).cast("smallint").alias("corpus"), F.col(record).alias("record"), F.col(term).alias("term"), F.col(count).cast("long").alias("n"))
         .where("corpus is not null and record is not null and term is not null and n >= 1")
         .groupBy("corpus", "record", "term").agg(F.max("n").alias("n"))
     )
     pairs = (
-        once.join(dictionary.select("term", "token_id"), "term")
+        once.join(codes, "term")
         .select("corpus", "record", F.explode(F.array(F.struct("token_id", "n"), F.struct(F.lit(ANY).cast("long").alias("token_id"), F.lit(0).cast("long").alias("n")))).alias("_x"))
         .groupBy("corpus", "record", F.col("_x.token_id").alias("token_id")).agg(F.sum("_x.n").alias("n"))
     )

@@ -41,8 +41,8 @@ def test_against_brute_force(spark):
     vocabulary += vocabulary[:10]
     postings = [(rng.choice([1, 2, None]), rng.choice(["hot"] * 9 + [f"d{i}" for i in range(30)] + [None]), rng.choice([7] * 20 + list(range(70)) + [None]), rng.choice([None, -1, 0, 1, 2, 50]), "clash", 3) for _ in range(3000)]
     postings += postings[:200]
-    for width, held in ((4, 2), (256, 4096)):
-        assert run(spark, postings, vocabulary, width=width, held=held) == brute(postings, vocabulary, 5, 30)
+    for width, held, broadcast in ((4, 2, 0), (256, 4096, 1000)):
+        assert run(spark, postings, vocabulary, width=width, held=held, broadcast_terms=broadcast) == brute(postings, vocabulary, 5, 30)
 
 
 def test_empty_tables(spark):
