@@ -98,9 +98,12 @@ def undo_single(text: str, read_as: str, written_in: str) -> str | None:
     return "".join(out)
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=4096)
 def restorations(text: str) -> tuple[tuple[str, str], ...]:
-    """(restored text, chain) for every way in which `text` may have been misread, each restored text with its shortest chain."""
+    """(restored text, chain) for every way in which `text` may have been misread, each restored text with its shortest chain.
+
+    Few are kept, as a text has dozens; a model keeps the handful that its characters allow.
+    """
     found: dict[str, str] = {}
     edge = [(text, "")]
     for step in range(MOST_READINGS):
