@@ -31,14 +31,16 @@ def latest_per_key(df: DataFrame, keys: list[str], *order) -> DataFrame:
 def contained_sets(elements: DataFrame, sets: DataFrame, holder: str, name: str, element: str, ignored: tuple[str, ...] = ()) -> DataFrame:
     """(holder, name) where the holder has every element of the named set, and each that isn't in `ignored` more than once.
 
-    A set of ignored elements alone matches nothing, empty elements are dropped. Elements are counted before the join, which is by
-    element, so no pair of holder and set without a common element is ever formed.
+    A set of ignored elements alone matches nothing, empty elements are dropped. Candidates come from an equality join on the element of a set
+    that the fewest sets have, so a word that many names share makes none; the other elements are then looked up for the candidates only.
     """
     counts = elements.where(F.col(element) != "").groupBy(holder, element).agg(F.count("*").alias("_n"))
     wanted = sets.where(F.col(element) != "").select(name, element).distinct().withColumn("_key", ~F.col(element).isin(list(ignored)) if ignored else F.lit(True))
-    sizes = wanted.groupBy(name).agg(F.count("*").alias("_size"), F.count_if("_key").alias("_keys")).where("_keys > 0")
-    found = counts.join(wanted, element).groupBy(holder, name).agg(F.count("*").alias("_found"), F.min(F.when(F.col("_key"), F.col("_n"))).alias("_least"))
-    return found.join(sizes, name).where("_found = _size and _least > 1").select(holder, name)
+    spread = wanted.groupBy(element).agg(F.count("*").alias("_sets"))
+    rarest = wanted.join(spread, element).groupBy(name).agg(F.min(F.when(F.col("_key"), F.struct(F.col("_sets"), F.col(element)))).alias("_rare"), F.count("*").alias("_size")).where("_rare is not null")
+    candidates = counts.where("_n > 1").join(rarest.select(name, "_size", F.col(f"_rare.{element}").alias(element)), element).select(holder, name, "_size")
+    found = candidates.join(wanted, name).join(counts, [holder, element]).groupBy(holder, name, "_size").agg(F.count("*").alias("_found"), F.min(F.when(F.col("_key"), F.col("_n"))).alias("_least"))
+    return found.where("_found = _size and _least > 1").select(holder, name)
 
 
 def upsert(current: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:

@@ -54,10 +54,9 @@ def presence_windows(presence: DataFrame, key: str, day: str, snapshots: DataFra
 
 def rewrite_aliases(df: DataFrame, symbol: str, day: str, aliases: DataFrame) -> DataFrame:
     """`df` with `symbol` replaced where an alias row (alias, canonical, start_date, end_date) holds on the day; of several the first canonical."""
-    ids = df.withColumn("_row", F.monotonically_increasing_id())
-    valid = ids.join(aliases, (F.col(symbol) == F.col("alias")) & (F.col(day) >= F.col("start_date")) & (F.col(day) < F.col("end_date")))
-    best = valid.groupBy("_row").agg(F.min("canonical").alias("_canonical"))
-    return ids.join(best, "_row", "left").withColumn(symbol, F.coalesce("_canonical", symbol)).select(*df.columns)
+    asked = df.select(F.col(symbol).alias("alias"), F.col(day).alias("_day")).dropna().distinct()
+    best = asked.join(aliases, "alias").where((F.col("_day") >= F.col("start_date")) & (F.col("_day") < F.col("end_date"))).groupBy("alias", "_day").agg(F.min("canonical").alias("_canonical"))
+    return df.join(best, (F.col(symbol) == F.col("alias")) & (F.col(day) == F.col("_day")), "left").withColumn(symbol, F.coalesce("_canonical", symbol)).select(*df.columns)
 
 
 def split_windows(df: DataFrame, splits: DataFrame) -> DataFrame:
@@ -87,9 +86,19 @@ def days_since_last(df: DataFrame, keys: list[str], day: str, out: str = "durati
 
 
 def trailing_deviation(value: Column, order: Window, rows: int) -> Column:
-    """Annualised deviation of the `rows` values before the row's own; null unless all are there."""
-    before = order.rowsBetween(-rows, -1)
-    return F.when(F.count(value).over(before) == rows, F.stddev_samp(value).over(before) * F.sqrt(F.lit(252.0)))
+    """Annualised deviation of the `rows` values before the row's own; null unless all are there.
+
+    From running sums at either end of the span, so a row costs the same whatever `rows` is; a sliding frame would add up the span again for each row.
+    """
+    running = order.rowsBetween(Window.unboundedPreceding, 0)
+
+    def span(x: Column) -> Column:
+        total = F.coalesce(F.sum(x).over(running), F.lit(0.0))
+        return F.lag(total, 1, 0.0).over(order) - F.lag(total, rows + 1, 0.0).over(order)
+
+    n, one, two = span(F.when(value.isNotNull(), 1.0)), span(value), span(value * value)
+    variance = F.greatest(F.lit(0.0), two - one * one / rows) / (rows - 1)
+    return F.when(n == rows, F.sqrt(variance) * F.sqrt(F.lit(252.0)))
 
 
 def price_features(df: DataFrame, key: str, day: str, price: str) -> DataFrame:

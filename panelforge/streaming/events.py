@@ -27,8 +27,9 @@ def routed(records: DataFrame, schedule: DataFrame, at: str = "published_at") ->
 
 
 def dead_letter_report(lines: DataFrame, examples: int = 5, value: str = "value") -> DataFrame:
-    """Number of unreadable lines and the first `examples` of them in order."""
-    return lines.agg(F.count("*").alias("n_lines"), F.slice(F.sort_array(F.collect_set(value)), 1, examples).alias("examples"))
+    """Number of unreadable lines and the first `examples` distinct ones in order; no task sees more than these of all lines."""
+    some = lines.select(value).distinct().orderBy(value).limit(examples).agg(F.sort_array(F.collect_list(value)).alias("examples"), F.lit(1).alias("_one"))
+    return lines.agg(F.count("*").alias("n_lines"), F.lit(1).alias("_one")).join(some, "_one").select("n_lines", "examples")
 
 
 def windowed_counts(events: DataFrame, ts: str, keys: list[str], width: str = "5 minutes", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
