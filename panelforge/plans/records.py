@@ -212,6 +212,15 @@ def t11_coherence_tokens(spark, sf_dir):
     return found.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "token"))), lambda s: s.token).alias("tokens"))
 
 
+def f14_english_confidence(spark, sf_dir):
+    """Confidence in English of every document by a model of the labelled ones."""
+    from panelforge.functions import language
+
+    docs = table(spark, sf_dir, "documents")
+    model = language.train_languages(docs, "text", "lang")
+    return docs.select("doc_id", language.language_code(F.col("lang")).alias("label"), language.confidence(model, docs, F.col("text")).alias("english"))
+
+
 def s43_distinct_texts(spark, sf_dir):
     from panelforge.sources.files import by_ids
 
@@ -278,7 +287,7 @@ QUERIES = {f.__name__: f for f in (
     w6_canonical_evidence, a2_candidate_features, a4_resolved_tickers, a11_name_spans, w13_first_and_last_seen, j12_alias_rewriting, j16_evidence_of_mapped_pairs, s33_candidate_override, t1_tickers, t2_company_names,
     t13_evidence_ids, t28_window_texts, t39_window_split, j19_firm_mentions, c1_overlapping_windows, c2_broken_rules, c8_orphan_postings, c6_repeated_members, a22_expected_firms, j1_as_of_fundamentals, w0_price_features,
     w12_forecast_ranks, k3_latest_forecasts, w8_top_terms, a16_rebuilt_texts, a6_pruned_documents, a14_frequency_of_frequencies, k21_term_ids, t4_tokens, t5_token_types, t10_stemmed_counts, t11_coherence_tokens,
-    s43_distinct_texts, a18_firm_topics, j11_topic_selection, a19_exposure_summary, m1_trained_topics, m5_topic_coherence, a15_dropped_firms, u2_all_pairs, t33_event_properties)}
+    f14_english_confidence, s43_distinct_texts, a18_firm_topics, j11_topic_selection, a19_exposure_summary, m1_trained_topics, m5_topic_coherence, a15_dropped_firms, u2_all_pairs, t33_event_properties)}
 
 _EVIDENCE = """
 WITH evidence AS (

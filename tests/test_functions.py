@@ -64,3 +64,17 @@ def test_article_text(spark):
     assert html.column_for_key(table, "ticker", "cik", "abc") == "000 123"
     form = '<div><div class="infoHead">Filing Date</div><div class="info">2020-01-02</div><div class="infoHead">Items</div><div class="info">Item 1.01: x</div></div>'
     assert html.labelled_text(form, "Filing Date") == "2020-01-02" and html.labelled_text(form, "Items") == "Item 1.01: x" and html.labelled_text(form, "None") is None
+
+
+def test_language_confidence(spark):
+    from panelforge.functions import language
+
+    rows = [("en", "the company said net sales rose and the board approved a plan for the year"), ("EN-us", "holders of the shares backed the motion at the meeting"), ("de", "der Vorstand kündigte an, Stellen zu streichen und das Werk zu schließen"),
+            ("fr", "le conseil a décidé de céder l’usine malgré un carnet de commandes élevé"), (None, "the the the"), ("xx", "zzz"), ("en", None)]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    model = language.train_languages(df, "text", "lang")
+    assert model.languages == ["de", "en", "fr"]
+    ask = spark.createDataFrame([("the board approved the sale of shares",), ("der Vorstand streicht Stellen im Werk",), (None,), ("",), ("a " * 100_000,)], "t string")
+    got = [r.c for r in ask.select(language.confidence(model, ask, F.col("t")).alias("c")).collect()]
+    assert got[0] > 0.9 and got[1] < 0.1 and got[2] is None and abs(got[3] - 1 / 3) < 1e-9 and 0 <= got[4] <= 1
+    assert language.train_languages(df.limit(0), "text", "lang").languages == []
