@@ -25,6 +25,8 @@ CLASSES = 17
 BUCKETS = {0: CLASSES**3, 1: 1 << 16, 2: 1 << 18, 3: 1 << 21}
 #: A stretch of characters beyond ASCII, with the space after it, which may have been a no-break space.
 STRETCH = re.compile(r"[^\x00-\x7f]+ ?")
+#: What is found out about a longer stretch isn't kept.
+LONG = 64
 LOST = "�"
 CONTROL = re.compile("[\x80-\x9f]")
 
@@ -229,9 +231,12 @@ class NgramModel:
         """The restorations of `piece` whose characters all occur in the clean records."""
         found = self._plausible.get(piece)
         if found is None:
-            if len(self._plausible) > 200_000:
-                self._plausible.clear()
-            found = self._plausible[piece] = [(r, chain) for r, chain in restorations(piece) if all(self.one[min(ord(c), 0xFFFF)] > 0 for c in r if c > "\x7f")]
+            made = restorations(piece) if len(piece) <= LONG else restorations.__wrapped__(piece)
+            found = [(r, chain) for r, chain in made if all(self.one[min(ord(c), 0xFFFF)] > 0 for c in r if c > "\x7f")]
+            if len(piece) <= LONG:
+                if len(self._plausible) > 200_000:
+                    self._plausible.clear()
+                self._plausible[piece] = found
         return found
 
     def best(self, before: str, piece: str, after: str) -> tuple[str, str, float]:
@@ -244,9 +249,11 @@ class NgramModel:
         if found is None:
             own = self.score(before + piece + after)
             restored, chain = max(options, key=lambda o: self.score(before + o[0] + after))
-            if len(self._best) > 300_000:
-                self._best.clear()
-            found = self._best[key] = (restored, chain, self.score(before + restored + after) - own)
+            found = (restored, chain, self.score(before + restored + after) - own)
+            if len(piece) <= LONG:
+                if len(self._best) > 300_000:
+                    self._best.clear()
+                self._best[key] = found
         return found
 
 

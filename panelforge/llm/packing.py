@@ -21,7 +21,7 @@ from panelforge.storage import materialize
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the vocabulary's texts were cut before merging (contractions, words, numbers, other characters, white space).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: More containers sizes than this are refused: they are held in the plan.
+#: More container sizes than this are refused: they are held in the plan.
 MOST_SPECS = 1000
 
 

@@ -44,7 +44,7 @@ def corpus(seed=0, n=1500):
 @pytest.fixture(scope="module")
 def found(spark):
     docs, truth = corpus()
-    extra = [(9001, None), (9002, ""), (9003, "lost � here"), (9004, "Net debt was Â£404.5 million " + "word " * 40_000), (9005, "x" * 300_000)]
+    extra = [(9001, None), (9002, ""), (9003, "lost � here"), (9004, "Net debt was Â£404.5 million " + "word " * 40_000), (9005, "x" * 300_000), (9006, "ж" * 100_000)]
     df = spark.createDataFrame(docs + extra + extra[2:3], "doc_id long, text string").withColumn("t", F.lit("clash")).withColumn("d", F.lit(0)).repartition(4)
     return {r.doc_id: r for r in E.garbled_records(df).collect()}, truth
 
