@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import gzip
 import io
-import re
 import zlib
 from collections.abc import Iterable, Iterator
 
