@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -31,3 +33,20 @@ def local_session(cpus: int | None = None, **conf: str) -> SparkSession:
     """A local session for tests and the benchmark."""
     n = cpus or int(os.environ.get("BENCH_CPUS", "8"))
     return build_session(f"local[{n}]", **{"spark.sql.shuffle.partitions": str(n), "spark.driver.memory": "12g", **conf})
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once a session, so they needn't have it installed or on their path."""
+    context = spark.sparkContext
+    if getattr(context, "_panelforge_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="panelforge-code-"), "panelforge_code.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for folder, _, files in os.walk(package):
+            for name in sorted(files):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.join("panelforge", os.path.relpath(full, package)))
+    context.addPyFile(path)
+    context._panelforge_shipped = True
