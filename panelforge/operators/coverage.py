@@ -19,7 +19,7 @@ def window_bounds(text: Column) -> Column:
     text that is no range, a date that does not exist, and a range that holds no day.
     """
     part = lambda i: F.regexp_extract(text, WINDOW_TEXT, i)
-    day = lambda i: F.unix_date(F.try_to_date(part(i), "yyyy-MM-dd"))
+    day = lambda i: F.unix_date(part(i).try_cast("date"))
     lo = day(2) + F.when(part(1) == "(", 1).otherwise(0)
     hi = F.when(part(3) == "", F.lit(NEVER)).otherwise(day(3) + F.when(part(4) == "]", 1).otherwise(0))
     return F.when(text.rlike(WINDOW_TEXT) & (lo < hi), F.struct(lo.alias("lo"), hi.cast("int").alias("hi")))
@@ -63,10 +63,10 @@ def merge_periods(df: DataFrame, keys: list[str], bounds: Column, shard_days: in
     whole = F.when(edge(first + 1) < whole_end, piece(F.lit(WHOLE), edge(first + 1), whole_end))
     tail = F.when((first < last) & (hi != NEVER), piece(last, edge(last), hi))
     pieces = (
-        df.select(*keys, bounds.alias("_b"))
-        .where(F.col("_b").isNotNull() & (lo < hi))
-        .dropna(subset=keys)
-        .select(*keys, F.explode(F.filter(F.array(head, whole, tail), lambda p: p.isNotNull())).alias("_p"))
+        df.dropna(subset=keys).select(*keys, bounds.alias("_b"))
+        # no filter on the bounds: it would be pushed below and parse each window again for every mention of them
+        .select(*keys, F.explode(F.when(lo < hi, F.array(head, whole, tail))).alias("_p"))
+        .where(F.col("_p").isNotNull())
         .select(*keys, F.col("_p.shard").alias("_shard"), F.col("_p.lo").alias("lo"), F.col("_p.hi").alias("hi"))
         .groupBy(*keys, "_shard", "lo")
         .agg(F.max("hi").alias("hi"))
