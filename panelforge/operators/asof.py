@@ -49,10 +49,10 @@ def latest_versions(events: DataFrame, versions: DataFrame, entity: str, day: st
     known_rows = (
         versions.select(F.col(entity).alias("_e"), bounds.alias("_b"), known.cast("int").alias("_k"),
                         F.struct(*[priority[p].alias(p) for p in prio], *[F.col(c) for c in payload if c not in prio]).alias("_v"))
-        .where(F.col("_e").isNotNull() & F.col("_b").isNotNull() & F.col("_k").isNotNull())
-        .select("_e", begin.alias("_s"), end.alias("_t"), "_v")
-        .where(F.col("_s") < F.col("_t"))
-        .withColumn("_shard", F.explode(F.sequence(shard(F.col("_s")), shard(F.col("_t") - 1))))
+        .where(F.col("_e").isNotNull())
+        .select("_e", begin.alias("_s"), end.alias("_t"), (F.col("_b").isNotNull() & F.col("_k").isNotNull()).alias("_ok"), "_v")
+        # no filter on the bounds: it would be pushed below and work them out again for every mention of them
+        .withColumn("_shard", F.explode(F.when(F.col("_ok") & (F.col("_s") < F.col("_t")), F.sequence(shard(F.col("_s")), shard(F.col("_t") - 1)))))
         .groupBy("_e", "_shard", F.greatest("_s", F.col("_shard") * shard_days).alias("_s"), F.least("_t", (F.col("_shard") + 1) * shard_days).alias("_t"))
         .agg(F.max("_v").alias("_v"))
         .select("_e", "_shard", F.lit(0).alias("_kind"), "_s", "_t", "_v")
