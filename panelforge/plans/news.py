@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from panelforge.functions import dates, ids
 from panelforge.operators import calendar, intensity, relational, sampling, temporal
 from panelforge.operators.corpus import clean_articles, coverage_in_windows
-from panelforge.operators.coverage import NEVER, window_bounds
+from panelforge.operators.coverage import window_bounds
 from panelforge.plans.intervals_and_asof import article_firms, padded_cik, table
 from panelforge.streaming.events import windowed_counts
 
@@ -32,10 +32,12 @@ def schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.select("trading_day", at(810).alias("session_open_utc"), at(1200).alias("session_close_utc"))
 
 
-def profile_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(cik, start_day, end_day) of the profile windows that end."""
-    rows = table(spark, sf_dir, "security_profile_history").select("cik", window_bounds(F.col("validity_window")).alias("w")).where(F.col("w").isNotNull() & (F.col("w.hi") < NEVER))
-    return rows.select("cik", F.date_from_unix_date("w.lo").alias("start_day"), F.date_from_unix_date("w.hi").alias("end_day"))
+def profile_windows(spark: SparkSession, sf_dir: str, days: DataFrame) -> DataFrame:
+    """(cik, start_day, end_day) of the profile windows; none goes on beyond the last of the `days` (trading_day), so one that never ends can be spelled out."""
+    rows = table(spark, sf_dir, "security_profile_history").select("cik", window_bounds(F.col("validity_window")).alias("w")).where(F.col("w").isNotNull())
+    last = days.agg(F.unix_date(F.max("trading_day")).alias("_last")).where("_last is not null")
+    clipped = rows.crossJoin(F.broadcast(last)).select("cik", F.col("w.lo").alias("lo"), F.least("w.hi", F.col("_last") + 1).alias("hi")).where("lo < hi")
+    return clipped.select("cik", F.date_from_unix_date("lo").alias("start_day"), F.date_from_unix_date("hi").alias("end_day"))
 
 
 def firm_days(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,18 +65,21 @@ def a12_daily_sessions(spark, sf_dir):
 
 def a13_window_coverage(spark, sf_dir):
     days = article_firms(spark, sf_dir).select("cik", "trading_day")
-    out = coverage_in_windows(days, profile_windows(spark, sf_dir), "cik", "trading_day", articles(spark, sf_dir).where("trading_day is not null"))
+    universe = articles(spark, sf_dir).where("trading_day is not null")
+    out = coverage_in_windows(days, profile_windows(spark, sf_dir, universe), "cik", "trading_day", universe)
     return out.select("cik", *[F.round(f"{p}_coverage", 6).alias(f"{p}_coverage") for p in ("year", "month", "day")])
 
 
 def j2_membership_in_windows(spark, sf_dir):
-    members, windows = membership(spark, sf_dir), profile_windows(spark, sf_dir)
+    members = membership(spark, sf_dir)
+    windows = profile_windows(spark, sf_dir, members)
     joined = temporal.interval_join(members, windows.withColumnRenamed("cik", "_cik").withColumn("cik", F.col("_cik")).drop("_cik"), ["cik"], "trading_day", "start_day", "end_day")
     return joined.select(members["cik"], members["trading_day"]).distinct().groupBy("cik").agg(F.count("*").alias("n_days"))
 
 
 def j3_window_days(spark, sf_dir):
-    return temporal.window_days(profile_windows(spark, sf_dir), ["cik"], "start_day", "end_day", membership(spark, sf_dir), "trading_day")
+    members = membership(spark, sf_dir)
+    return temporal.window_days(profile_windows(spark, sf_dir, members), ["cik"], "start_day", "end_day", members, "trading_day")
 
 
 def j4_days_without_profile(spark, sf_dir):
