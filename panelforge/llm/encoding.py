@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelforge.storage import materialize
+
 # Encodings under which text may have been read wrongly, and those it may have been written in beside UTF-8.
 READ_AS = ("cp1252", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "koi8_r", "cp866", "iso8859_2", "cp1254", "mac_cyrillic", "latin_1")
 WRITTEN_IN = ("cp1252", "cp1250", "cp1251", "mac_roman", "cp850", "koi8_r", "cp866", "iso8859_2")
@@ -296,10 +298,18 @@ TRIALS = (("utf_8", "cp1252"), ("utf_8", "latin_1"), ("utf_8", "mac_roman"), ("u
 COUNTS = "kind tinyint, bucket int, n bigint"
 
 
-def _rows(read: DataFrame, held: bool | None) -> DataFrame:
-    """Texts beyond null, of the records held out, the others, or all."""
-    part = F.pmod(F.xxhash64("d"), F.lit(HELD_OUT)) == 0
-    return read.where(F.col("t").isNotNull() & (F.lit(True) if held is None else part if held else ~part))
+def distinct_texts(read: DataFrame) -> DataFrame:
+    """(h, t): every text beyond null once, with its hash, as many copies of a garbled text would teach a model that it is clean.
+
+    Each partition keeps one copy before the shuffle, so a text with very many copies isn't sent to one task.
+    """
+    return read.where(F.col("t").isNotNull()).select(F.xxhash64("t").alias("h"), "t").dropDuplicates(["h"])
+
+
+def _part(texts: DataFrame, held: bool) -> DataFrame:
+    """Those of `distinct_texts` that are held out, or the others."""
+    part = F.pmod("h", F.lit(HELD_OUT)) == 0
+    return texts.where(part if held else ~part).select("t")
 
 
 def _usable(text: str) -> bool:
@@ -310,24 +320,23 @@ def _doubtful(text: str, model: NgramModel, above: float = DOUBTFUL) -> bool:
     return not text.isascii() and any(gain > above for *_, gain in best_restorations(text, model))
 
 
-def train(read: DataFrame, clean_by: NgramModel | None = None) -> NgramModel:
-    """The model of the records (d, t) that are not held out, have no lost or control character, and aren't doubtful by an earlier model.
+def train(texts: DataFrame, clean_by: NgramModel | None = None) -> NgramModel:
+    """The model of the distinct texts (h, t) that are not held out, have no lost or control character, and aren't doubtful by an earlier model.
 
     Every partition counts n-grams of whole texts in arrays of fixed size, the sums by bucket are at most the model's size
     (2.4 million numbers) whatever the corpus, and so is what the driver gets and sends out.
     """
-    earlier = read.sparkSession.sparkContext.broadcast(clean_by) if clean_by else None
+    earlier = texts.sparkSession.sparkContext.broadcast(clean_by) if clean_by else None
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = {n: np.zeros(size, dtype=np.int64) for n, size in BUCKETS.items()}
         for batch in batches:
-            texts = [t for t in batch.column("t").to_pylist() if _usable(t) and not (earlier and _doubtful(t, earlier.value))]
-            count_ngrams(texts, sums)
+            count_ngrams([t for t in batch.column("t").to_pylist() if _usable(t) and not (earlier and _doubtful(t, earlier.value))], sums)
         for n, counts in sums.items():
             at = np.flatnonzero(counts)
             yield pa.record_batch({"kind": np.full(len(at), n, dtype=np.int8), "bucket": at.astype(np.int32), "n": counts[at]})
 
-    total = _rows(read, False).select("t").mapInArrow(count, COUNTS).groupBy("kind", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    total = _part(texts, False).mapInArrow(count, COUNTS).groupBy("kind", "bucket").agg(F.sum("n").alias("n")).toArrow()
     kind, bucket, n = (total[c].combine_chunks().to_numpy() for c in ("kind", "bucket", "n"))
     counts = {order: np.zeros(size, dtype=np.int64) for order, size in BUCKETS.items()}
     for order in BUCKETS:
@@ -352,12 +361,12 @@ def _trials(text: str, model: NgramModel) -> Iterator[tuple[int, float]]:
             yield 1, model.best(before, misread, after)[2]
 
 
-def validated_margin(read: DataFrame, model: NgramModel) -> float:
-    """The gain halfway between the greatest of clean stretches and the lowest percentile of misread ones, over all held-out records.
+def validated_margin(texts: DataFrame, model: NgramModel) -> float:
+    """The gain halfway between the greatest of clean stretches and the lowest percentile of misread ones, over all held-out texts.
 
     At least `LEAST_MARGIN`, also where there is nothing to validate on. Records that gain more than it are left out.
     """
-    shared = read.sparkSession.sparkContext.broadcast(model)
+    shared = texts.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((2, 300), dtype=np.int64)
@@ -369,7 +378,7 @@ def validated_margin(read: DataFrame, model: NgramModel) -> float:
         kind, bucket = np.nonzero(seen)
         yield pa.record_batch({"kind": kind.astype(np.int8), "bucket": bucket.astype(np.int32), "n": seen[kind, bucket]})
 
-    rows = _rows(read, True).select("t").mapInArrow(measure, COUNTS).groupBy("kind", "bucket").agg(F.sum("n")).collect()
+    rows = _part(texts, True).mapInArrow(measure, COUNTS).groupBy("kind", "bucket").agg(F.sum("n")).collect()
     clean = max((b - 100 for k, b, _ in rows if k == 0), default=0)
     misread = sorted((b - 100, n) for k, b, n in rows if k == 1)
     if not misread:
@@ -405,13 +414,15 @@ def garbled_records(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     the clean records, too. Whole texts are read; repeated rows come out repeatedly; other columns may have any name; an
     empty table gives an empty result.
 
-    The likelihood is that of a smoothed character trigram model of the clean records: a first model of all records finds
-    doubtful ones, a second is trained without these. The margin is validated on held-out records, as they are and misread
-    on purpose. Four passes over the texts, in which only counts of bounded number are shuffled.
+    The likelihood is that of a smoothed character trigram model of the clean texts: a first model of all texts finds
+    doubtful ones, a second is trained without these. The margin is validated on held-out texts, as they are and misread
+    on purpose. For these three passes every text counts once, however many copies it has: the distinct texts are written
+    to the shared folder once. Then all rows are scored.
     """
     read = documents.select(F.col(doc_id).alias("d"), F.col(text).alias("t"))
-    model = train(read, clean_by=train(read))
-    margin = validated_margin(read, model)
+    texts = materialize(distinct_texts(read), "texts")
+    model = train(texts, clean_by=train(texts))
+    margin = validated_margin(texts, model)
     shared = documents.sparkSession.sparkContext.broadcast(model)
     out = T.StructType([T.StructField("doc_id", documents.schema[doc_id].dataType), T.StructField("restored_text", T.StringType()),
                         T.StructField("chains", T.StringType()), T.StructField("gain", T.DoubleType()), T.StructField("n_lost", T.LongType())])
@@ -429,4 +440,4 @@ def garbled_records(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((batch.schema.field("d").type, pa.string(), pa.string(), pa.float64(), pa.int64()))], names=out.names)
 
-    return _rows(read, None).mapInArrow(find, out)
+    return read.where(F.col("t").isNotNull()).mapInArrow(find, out)

@@ -81,3 +81,13 @@ def test_scalar_and_array_counts_agree():
                 codes = E._codes([s[a : a + 3]])[2:-2]
                 assert model.three[E._buckets(codes, 3)[0]] >= 3
     assert model.score("für") > model.score("fÃ¼r") and model.score("abc") == 0.0
+
+
+def test_copies_teach_nothing(spark):
+    """Garbled texts whose copies are a third of the rows are found like single ones, and every copy comes out."""
+    docs, truth = corpus(seed=3, n=900)
+    plain = [(d, t) for d, t in docs if d not in truth]
+    bad = [SENTENCES[5].encode("cp1251").decode("cp1252"), SENTENCES[2].encode("cp1252").decode("mac_roman")]
+    copies = [(10_000 + i, bad[i % 2]) for i in range(len(plain) // 2)]
+    df = spark.createDataFrame(plain + copies, "doc_id long, text string").repartition(4)
+    assert {r.doc_id for r in E.garbled_records(df).collect()} == {d for d, _ in copies}
