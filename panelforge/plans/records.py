@@ -250,9 +250,14 @@ def a19_exposure_summary(spark, sf_dir):
 
 
 def m1_trained_topics(spark, sf_dir):
-    rows = term_rows(spark, sf_dir).where("corpus_version = 2").groupBy("document", "token").agg(F.sum("term_count").alias("term_count"))
-    counter, model = topics.train_topics(rows, "document", 5, max_iterations=3)
-    return topics.topic_words(counter, model, 10)
+    """The ten heaviest terms of each of 200 topics, of a model of each corpus version."""
+    rows = term_rows(spark, sf_dir).groupBy("corpus_version", "document", "token").agg(F.sum("term_count").alias("term_count"))
+    versions = [r.corpus_version for r in rows.select("corpus_version").distinct().orderBy("corpus_version").collect()]
+    out = spark.createDataFrame([], "corpus_version smallint, topic_id int, term string, weight double")
+    for version in versions:
+        counter, model = topics.train_topics(rows.where(F.col("corpus_version") == version).drop("corpus_version"), "document", 200)
+        out = out.unionByName(topics.topic_words(counter, model, 10).withColumn("corpus_version", F.lit(version).cast("smallint")))
+    return out
 
 
 def m5_topic_coherence(spark, sf_dir):
