@@ -11,8 +11,8 @@ NEW_YORK = "America/New_York"
 
 
 def window_text(start: Column, end: Column) -> Column:
-    """`2020-01-01 to 2020-02-01`."""
-    return F.concat_ws(" to ", F.date_format(start, "yyyy-MM-dd"), F.date_format(end, "yyyy-MM-dd"))
+    """`2020-01-01 to 2020-02-01`, or `2020-01-01 to infinity` if the end is null: `window_end` gives null again."""
+    return F.concat_ws(" to ", F.date_format(start, "yyyy-MM-dd"), F.coalesce(F.date_format(end, "yyyy-MM-dd"), F.lit("infinity")))
 
 
 def window_start(text: Column) -> Column:

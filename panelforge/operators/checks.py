@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 
 def overlapping_windows(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
-    """Rows whose window begins before an earlier one of the same key has ended."""
-    order = Window.partitionBy(*keys).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("_busy", F.max(end).over(order)).where(F.col(start) < F.col("_busy")).drop("_busy")
+    """Rows whose window begins before an earlier one of the same key has ended; one with a null end never does."""
+    order = Window.partitionBy(*keys).orderBy(F.asc(start), F.asc_nulls_last(end)).rowsBetween(Window.unboundedPreceding, -1)
+    busy = df.withColumn("_busy", F.max(end).over(order)).withColumn("_open", F.max(F.col(end).isNull()).over(order))
+    return busy.where(F.col("_open") | (F.col(start) < F.col("_busy"))).drop("_busy", "_open")
 
 
 def failing(df: DataFrame, rules: dict[str, Column]) -> DataFrame:

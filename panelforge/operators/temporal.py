@@ -53,9 +53,9 @@ def presence_windows(presence: DataFrame, key: str, day: str, snapshots: DataFra
 
 
 def rewrite_aliases(df: DataFrame, symbol: str, day: str, aliases: DataFrame) -> DataFrame:
-    """`df` with `symbol` replaced where an alias row (alias, canonical, start_date, end_date) holds on the day; of several the first canonical."""
+    """`df` with `symbol` replaced where an alias row (alias, canonical, start_date, end_date) holds on the day; of several the first canonical. A null end_date is no end."""
     asked = df.select(F.col(symbol).alias("alias"), F.col(day).alias("_day")).dropna().distinct()
-    best = asked.join(aliases, "alias").where((F.col("_day") >= F.col("start_date")) & (F.col("_day") < F.col("end_date"))).groupBy("alias", "_day").agg(F.min("canonical").alias("_canonical"))
+    best = asked.join(aliases, "alias").where((F.col("_day") >= F.col("start_date")) & (F.col("end_date").isNull() | (F.col("_day") < F.col("end_date")))).groupBy("alias", "_day").agg(F.min("canonical").alias("_canonical"))
     return df.join(best, (F.col(symbol) == F.col("alias")) & (F.col(day) == F.col("_day")), "left").withColumn(symbol, F.coalesce("_canonical", symbol)).select(*df.columns)
 
 
@@ -63,7 +63,7 @@ def split_windows(df: DataFrame, splits: DataFrame) -> DataFrame:
     """Rows (ticker, candidate_cik, start_day, end_day, filed_day) with windows cut where a ticker changes firms.
 
     `splits` has (ticker, split_day, pre_cik, post_cik): the old firm keeps [start, split), the new one [split, end); filings on the
-    wrong side go. Other rows stay as they are.
+    wrong side go. Other rows stay as they are. A null end_day is no end: the old firm's is the split, the new one's stays null.
     """
     cut = df.join(splits, "ticker", "left")
     pre, post = F.col("candidate_cik") == F.col("pre_cik"), F.col("candidate_cik") == F.col("post_cik")

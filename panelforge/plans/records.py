@@ -46,8 +46,9 @@ def w13_first_and_last_seen(spark, sf_dir):
 
 
 def mapped_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ticker, cik, start_day, end_day) of the ticker mappings; `end_day` is null where one never ends."""
     rows = table(spark, sf_dir, "ticker_cik_mapping").select(ticker_key(F.col("ticker")).alias("ticker"), "cik", window_bounds(F.col("validity_window")).alias("w")).where("w is not null")
-    return rows.where(F.col("w.hi") < NEVER).select("ticker", "cik", F.date_from_unix_date("w.lo").alias("start_day"), F.date_from_unix_date("w.hi").alias("end_day")).distinct()
+    return rows.select("ticker", "cik", F.date_from_unix_date("w.lo").alias("start_day"), F.when(F.col("w.hi") < NEVER, F.date_from_unix_date("w.hi")).alias("end_day")).distinct()
 
 
 def j12_alias_rewriting(spark, sf_dir):
