@@ -262,10 +262,12 @@ def m1_trained_topics(spark, sf_dir):
 
 
 def m5_topic_coherence(spark, sf_dir):
-    """C_v, over documents, of the ten most used words of each language as topics."""
+    """C_v, over documents, of the ten most used words of each usable language code as topics."""
+    from panelforge.functions import language
+
     docs = table(spark, sf_dir, "documents").where("text is not null")
     found = text.tokens(docs, "doc_id", F.col("text"))
-    counts = found.join(docs.select("doc_id", F.lower(F.substring("lang", 1, 2)).alias("run_id")), "doc_id").where("run_id in ('en', 'de', 'fr', 'es')").groupBy("run_id", "token").agg(F.count("*").alias("weight"))
+    counts = found.join(docs.select("doc_id", language.language_code(F.col("lang")).alias("run_id")), "doc_id").where("run_id is not null").groupBy("run_id", "token").agg(F.count("*").alias("weight"))
     words = topics.top_words(counts.withColumn("topic_id", F.lit(0)), ["run_id", "topic_id"], "token", "weight")
     return topics.coherence_cv(found, words, "doc_id").select("run_id", "topic_id", F.round("coherence", 6).alias("coherence"))
 

@@ -1,4 +1,4 @@
-"""Topics of every corpus version."""
+"""Topics of every corpus version, and coherence of every language."""
 
 from panelforge.plans import records
 
@@ -10,3 +10,9 @@ def test_topics_of_every_version(spark, tmp_path):
     rows = records.m1_trained_topics(spark, str(tmp_path)).collect()
     assert {(r.corpus_version, r.topic_id) for r in rows} == {(v, t) for v in (1, 2) for t in range(200)}
     assert {r.term for r in rows if r.corpus_version == 1} == {"OIL", "GAS", "BANK", "LOAN"} and {r.term for r in rows if r.corpus_version == 2} == {"OIL", "GAS"}
+
+
+def test_coherence_of_every_language(spark, tmp_path):
+    labels = ["en", "PL", "pt-BR", "ru", " de ", None, "", "und", "xx"]
+    spark.createDataFrame([(i, f"sales rose in market {i}", lang) for i, lang in enumerate(labels)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.run_id for r in records.m5_topic_coherence(spark, str(tmp_path)).collect()} == {"en", "pl", "pt", "ru", "de"}
