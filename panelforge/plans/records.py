@@ -307,8 +307,8 @@ features AS (SELECT *, count(*) OVER (PARTITION BY ticker) AS n_candidates, CAST
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticker, candidate_cik ORDER BY form_rank NULLS LAST, filed_at DESC NULLS LAST, evidence_id DESC NULLS LAST) AS rn FROM evidence) WHERE rn = 1),
 mapped AS (SELECT DISTINCT ticker, cik, CAST(lo AS DATE) AS start_day, CAST(hi AS DATE) AS end_day FROM (
     SELECT upper(trim(ticker)) AS ticker, cik, TRY_CAST(substr(validity_window, 2, 10) AS DATE) + CASE WHEN validity_window LIKE '(%' THEN 1 ELSE 0 END AS lo,
-           TRY_CAST(regexp_extract(validity_window, ',\\s*([0-9-]{10})', 1) AS DATE) + CASE WHEN validity_window LIKE '%]' THEN 1 ELSE 0 END AS hi
-    FROM ticker_cik_mapping) WHERE lo < hi)
+           TRY_CAST(regexp_extract(validity_window, ',\\s*([0-9-]{10})', 1) AS DATE) + CASE WHEN validity_window LIKE '%]' THEN 1 ELSE 0 END AS hi, regexp_matches(validity_window, ',\\s*[\\])]$') AS never_ends
+    FROM ticker_cik_mapping) WHERE lo < hi OR (never_ends AND lo IS NOT NULL))
 """
 _SUFFIXES = "'" + "', '".join(text.NAME_SUFFIXES) + "'"
 
@@ -344,13 +344,13 @@ ORACLES = {
     "w13_first_and_last_seen": """WITH seen AS (SELECT upper(trim(ticker)) AS ticker, candidate_cik, epoch_us(first_seen_at) AS t, coalesce(first_seen_url, '') AS u FROM wayback_cik_candidates WHERE first_seen_at IS NOT NULL)
   SELECT ticker, candidate_cik, min(t) AS first_micros, arg_min(u, (t, u)) AS first_seen_url, max(t) AS last_micros, arg_max(u, (t, u)) AS last_seen_url FROM seen GROUP BY 1, 2""",
     "j12_alias_rewriting": _EVIDENCE + """, seen AS (SELECT row_number() OVER () AS id, upper(trim(ticker)) AS ticker, CAST(first_seen_at AT TIME ZONE 'UTC' AS DATE) AS seen_day FROM wayback_cik_candidates)
-  SELECT coalesce(c, ticker) AS ticker, seen_day, count(*) AS n_rows FROM (SELECT s.id, s.ticker, s.seen_day, min(m.cik) AS c FROM seen s LEFT JOIN mapped m ON m.ticker = s.ticker AND s.seen_day >= m.start_day AND s.seen_day < m.end_day GROUP BY ALL) GROUP BY 1, 2""",
+  SELECT coalesce(c, ticker) AS ticker, seen_day, count(*) AS n_rows FROM (SELECT s.id, s.ticker, s.seen_day, min(m.cik) AS c FROM seen s LEFT JOIN mapped m ON m.ticker = s.ticker AND s.seen_day >= m.start_day AND (m.end_day IS NULL OR s.seen_day < m.end_day) GROUP BY ALL) GROUP BY 1, 2""",
     "j16_evidence_of_mapped_pairs": """SELECT DISTINCT upper(trim(ticker)) AS ticker, cik AS candidate_cik, evidence_id FROM ticker_cik_mapping m WHERE EXISTS (SELECT 1 FROM wayback_cik_candidates w WHERE upper(trim(w.ticker)) = upper(trim(m.ticker)) AND w.candidate_cik = m.cik)""",
     "s33_candidate_override": """WITH a AS (SELECT upper(trim(ticker)) AS ticker, string_agg(DISTINCT candidate_cik, ',' ORDER BY candidate_cik) AS ciks FROM wayback_cik_candidates GROUP BY 1),
   b AS (SELECT upper(trim(ticker)) AS ticker, string_agg(DISTINCT cik, ',' ORDER BY cik) AS ciks FROM ticker_cik_mapping GROUP BY 1) SELECT coalesce(a.ticker, b.ticker) AS ticker, coalesce(b.ciks, a.ciks) AS ciks FROM a FULL JOIN b ON a.ticker = b.ticker""",
     "t1_tickers": "SELECT DISTINCT regexp_replace(regexp_replace(upper(trim(ticker || ' ./x')), '\\s+', '', 'g'), '[./]', '-', 'g') AS symbol FROM ticker_cik_mapping",
     "t2_company_names": f"SELECT DISTINCT company_name, {_canonical_sql('company_name')} AS canonical FROM security_profile_history",
-    "t28_window_texts": _EVIDENCE + "SELECT ticker, cik, strftime(start_day, '%Y-%m-%d') || ' to ' || strftime(end_day, '%Y-%m-%d') AS \"window\", start_day, end_day FROM mapped",
+    "t28_window_texts": _EVIDENCE + "SELECT ticker, cik, strftime(start_day, '%Y-%m-%d') || ' to ' || coalesce(strftime(end_day, '%Y-%m-%d'), 'infinity') AS \"window\", start_day, end_day FROM mapped",
     "t39_window_split": _EVIDENCE + """, firsts AS (SELECT ticker, cik, min(start_day) AS d FROM mapped GROUP BY 1, 2), numbered AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY d, cik) AS n FROM firsts),
   splits AS (SELECT a.ticker, b.d AS split_day, a.cik AS pre_cik, b.cik AS post_cik FROM numbered a JOIN numbered b ON a.ticker = b.ticker AND a.n = 1 AND b.n = 2)
   SELECT m.ticker, m.cik AS candidate_cik, CASE WHEN m.cik = post_cik THEN greatest(start_day, split_day) ELSE start_day END AS start_day, CASE WHEN m.cik = pre_cik THEN least(end_day, split_day) ELSE end_day END AS end_day, start_day AS filed_day
@@ -360,7 +360,7 @@ ORACLES = {
   sizes AS (SELECT company_name, count(*) AS size, count(*) FILTER (word NOT IN ({_SUFFIXES})) AS keys FROM names GROUP BY 1),
   found AS (SELECT article_id, company_name, count(*) AS found, min(n) FILTER (word NOT IN ({_SUFFIXES})) AS least FROM words JOIN names USING (word) GROUP BY 1, 2)
   SELECT article_id, company_name FROM found JOIN sizes USING (company_name) WHERE found = size AND keys > 0 AND least > 1""",
-    "c1_overlapping_windows": _EVIDENCE + "SELECT ticker, count(*) AS n_overlaps FROM (SELECT *, max(end_day) OVER (PARTITION BY ticker ORDER BY start_day, end_day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS busy FROM mapped) WHERE start_day < busy GROUP BY 1",
+    "c1_overlapping_windows": _EVIDENCE + "SELECT ticker, count(*) AS n_overlaps FROM (SELECT *, max(coalesce(end_day, DATE '9999-12-31')) OVER (PARTITION BY ticker ORDER BY start_day, end_day NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS busy FROM mapped) WHERE start_day < busy GROUP BY 1",
     "c2_broken_rules": """SELECT unnest(['known_session', 'positive_word_count', 'confidence_share', 'firms_named', 'few_firms_if_short', 'crawled_after_day']) AS rule, unnest([count(*) FILTER (NOT session IN ('intraday', 'overnight')),
   count(*) FILTER (NOT word_count > 0), count(*) FILTER (NOT language_confidence BETWEEN 0 AND 1), count(*) FILTER (NOT len(cik_list) > 0), count(*) FILTER (NOT (NOT word_count < 60 OR len(cik_list) <= 3)), count(*) FILTER (NOT CAST(warc_date_utc AT TIME ZONE 'UTC' AS DATE) >= trading_day)]) AS n_rows FROM parsed_news_articles""",
     "c8_orphan_postings": "SELECT corpus_version, count(*) AS n_rows FROM lda_document_terms WHERE term_id IS NOT NULL AND term_id NOT IN (SELECT term_id FROM lda_vocabulary) GROUP BY 1",
