@@ -10,7 +10,7 @@ from panelforge.llm.encoding import garbled_records
 from panelforge.llm.frequency import term_frequencies
 from panelforge.llm.packing import pack_documents
 from panelforge.llm.reservoir import sample_distinct
-from panelforge.llm.topn import top_n
+from panelforge.llm.topn import latest_together, top_n
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,32 +34,29 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ranked_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All three lists as rows (list_name, run_id, group_key, item_key, score, two tie columns, n)."""
-    exposure = (
-        table(spark, sf_dir, "lda_article_topic_exposure").where("topic_exposure >= 0 and topic_exposure <= 1 and not isnan(topic_exposure)")
-        .dropna(subset=["run_id", "article_id", "topic_id"])
-        .groupBy("run_id", "article_id", "corpus_version", "topic_id").agg(F.max(F.struct("created_at", "topic_exposure")).alias("latest"))
-        .select("run_id", "article_id", "topic_id", F.col("latest.topic_exposure").alias("score"))
-    )
+    """All three lists as rows (list_name, run_id, group_key, item_key, score, tie_number, n), an article's rows of a run in one partition; ties go by number, then item."""
+    exposure = latest_together(
+        table(spark, sf_dir, "lda_article_topic_exposure").where("topic_exposure >= 0 and topic_exposure <= 1 and not isnan(topic_exposure)").dropna(subset=["run_id", "article_id", "topic_id"]),
+        ["run_id", "article_id"], ["run_id", "article_id", "corpus_version", "topic_id"], "created_at", "topic_exposure")
     topic = F.col("topic_id").cast("string")
     lists = F.array(
-        F.struct(F.lit("article").alias("list_name"), F.col("article_id").alias("group_key"), topic.alias("item_key"), F.col("topic_id").cast("long").alias("tie_number"), F.lit("").alias("tie_text"), F.lit(3).alias("n")),
-        F.struct(F.lit("topic").alias("list_name"), topic.alias("group_key"), F.col("article_id").alias("item_key"), F.lit(0).cast("long").alias("tie_number"), F.col("article_id").alias("tie_text"), F.lit(10).alias("n")),
+        F.struct(F.lit("article").alias("list_name"), F.col("article_id").alias("group_key"), topic.alias("item_key"), F.col("topic_id").cast("long").alias("tie_number"), F.lit(3).alias("n")),
+        F.struct(F.lit("topic").alias("list_name"), topic.alias("group_key"), F.col("article_id").alias("item_key"), F.lit(0).cast("long").alias("tie_number"), F.lit(10).alias("n")),
     )
-    both = exposure.select("run_id", "score", F.explode(lists).alias("x")).select("run_id", "score", "x.*")
+    both = exposure.select("run_id", F.col("topic_exposure").alias("score"), F.explode(lists).alias("x")).select("run_id", "score", "x.*")
     forecast = F.col("forecast_annual_log_return")
     forecasts = (
         table(spark, sf_dir, "return_forecasts").where(forecast.isNotNull() & ~F.isnan(forecast) & (F.abs(forecast) < float("inf")))
         .dropna(subset=["run_id", "cik", "forecast_year", "session"])
         .groupBy("run_id", "cik", "forecast_year", "session").agg(F.max(F.struct("created_at", forecast.alias("score"))).alias("latest"))
         .select("run_id", F.col("latest.score").alias("score"), F.lit("forecast").alias("list_name"), F.concat_ws("/", F.col("forecast_year").cast("string"), "session").alias("group_key"),
-                F.col("cik").alias("item_key"), F.lit(0).cast("long").alias("tie_number"), F.col("cik").alias("tie_text"), F.lit(10).alias("n"))
+                F.col("cik").alias("item_key"), F.lit(0).cast("long").alias("tie_number"), F.lit(10).alias("n"))
     )
     return both.unionByName(forecasts)
 
 
 def p4_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = top_n(_ranked_lists(spark, sf_dir), ["list_name", "run_id", "group_key"], "score", ["tie_number", "tie_text"], F.col("n"))
+    best = top_n(_ranked_lists(spark, sf_dir), ["list_name", "run_id", "group_key"], "score", ["tie_number", "item_key"], F.col("n"), whole=F.col("list_name") == "article")
     return best.select("list_name", "run_id", "group_key", "item_key", "score", "rank")
 
 

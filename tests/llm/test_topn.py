@@ -1,9 +1,10 @@
+import datetime as dt
 import random
 from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from panelforge.llm.topn import top_n
+from panelforge.llm.topn import latest_together, top_n
 
 SCHEMA = "g string, h int, score double, tie string, rank string"
 
@@ -59,3 +60,28 @@ def test_empty_and_long(spark):
     long = "t" * 200_000
     assert run(spark, [("g", 1, 1.0, long, "x")], 3) == [("g", 1, 1.0, long, 1)]
     assert run(spark, [("g", 1, 1.0, "a", "x")] * 5, 2) == [("g", 1, 1.0, "a", 1), ("g", 1, 1.0, "a", 2)]
+
+
+def test_whole_groups(spark):
+    rows = data(5, 2000)
+    df = spark.createDataFrame(rows, SCHEMA).drop("rank").repartition(4, "h")
+    out = top_n(df, ["g", "h"], "score", ["tie"], 3, whole=F.col("h") == 1)
+    assert sorted(((r.g, r.h, r.score, r.tie, r["rank"]) for r in out.collect()), key=str) == brute(rows, lambda r: 3)
+
+
+def test_latest_together(spark):
+    rng = random.Random(6)
+    stamps = [None] + [dt.datetime(2024, 1, d, 12) for d in range(1, 6)]
+    rows = [(rng.choice("aab"), rng.choice([None, 1, 2, 3]), rng.choice(stamps), rng.choice([None, 0.5, 1.0, 2.0]), "x") for _ in range(600)] + [("hot", 1, stamps[1], 3.0, "x")] * 3000
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        out = latest_together(spark.createDataFrame(rows, "g string, k int, at timestamp, v double, extra string"), ["g"], ["g", "k"], "at", "v")
+        got = {(r.g, r.k, r.v) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    best = {}
+    for g, k, at, v, _ in rows:
+        place = (at is not None, at or dt.datetime.min, v is not None, v or 0.0)
+        best[g, k] = max(best.get((g, k), ((False, dt.datetime.min, False, 0.0), None)), (place, v), key=lambda x: x[0])
+    assert got == {(*key, v) for key, (_, v) in best.items()}
+    assert out.where(F.lit(False)).collect() == []
