@@ -2,93 +2,107 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from panelforge.operators.grouping import group_starts
 from panelforge.storage import materialize
 
 #: Identifier that stands for "any term": the records that hold it are all records.
 ANY = 0
-ARRAYS = "corpus smallint, id_range bigint, occurrences array<bigint>, records array<bigint>"
-COUNTS = "corpus smallint, token_id bigint, occurrences bigint, records bigint"
+#: Hash blocks in which tokens are numbered: about one for so many rows of the vocabulary, and never more than the second number, which the plan holds.
+BLOCK_TOKENS, MOST_BLOCKS = 100_000, 4096
+#: Terms of a token that are told apart in one row of a record.
+SLOTS = 4
 
 
-def term_dictionary(vocabulary: DataFrame, term: str, token: Column, blocks: int = 64) -> DataFrame:
-    """(term, token, token_id): a dense integer, from 1 on, for every distinct `token`; several terms may share a token.
+def term_dictionary(vocabulary: DataFrame, term: str, token: Column, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """(term, token, token_id, slot): a dense integer, from 1 on, for every distinct `token`; the first `SLOTS` terms of a token have a `slot` from 0 on, others none.
 
     Rows with a null term or token are left out; of a repeated term the smallest token counts. Tokens are numbered within
-    `blocks` hash blocks and the blocks laid end to end, so no task sorts the whole vocabulary and the driver gets one
-    count for each block.
+    hash blocks of about `block_tokens` and the blocks laid end to end, so no task sorts the whole vocabulary and the driver
+    gets one count for each block.
     """
+    blocks = max(1, min(MOST_BLOCKS, math.ceil(vocabulary.count() / block_tokens)))
     terms = vocabulary.select(F.col(term).alias("term"), token.alias("token")).dropna().groupBy("term").agg(F.min("token").alias("token"))
     tokens = terms.select("token").distinct().withColumn("_block", F.pmod(F.xxhash64("token"), F.lit(blocks)).cast("int"))
     numbered = materialize(tokens.withColumn("_n", F.row_number().over(Window.partitionBy("_block").orderBy("token"))), "tokens")
     sizes = dict(numbered.groupBy("_block").count().collect())
     offsets = np.cumsum([0, *[sizes.get(b, 0) for b in range(blocks - 1)]]).tolist()
     ids = numbered.select("token", (F.element_at(F.array(*[F.lit(o).cast("long") for o in offsets]), F.col("_block") + 1) + F.col("_n")).alias("token_id"))
-    return materialize(terms.join(ids, "token").select("term", "token", "token_id"), "dictionary")
+    order = Window.partitionBy("token").orderBy("term")  # few terms a token pass the limit, which is applied before the shuffle, too
+    slots = terms.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= SLOTS).select("term", (F.col("_n") - 1).alias("slot"))
+    return materialize(terms.join(ids, "token").join(slots, "term", "left").select("term", "token", "token_id", "slot"), "dictionary")
 
 
-def _block_arrays(width: int, held: int):
-    """Counts of a partition as arrays by identifier range; at most `held` ranges are kept before they are passed on."""
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """Where a run of equal rows begins."""
+    new = np.ones(len(columns[0]), dtype=bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(new)
 
-    def emit(kept: dict[tuple[int, int], np.ndarray]) -> pa.RecordBatch:
-        keys = sorted(kept)
-        flat = lambda row: pa.ListArray.from_arrays(
-            pa.array(np.arange(0, (len(keys) + 1) * width, width), pa.int32()), pa.array(np.concatenate([kept[k][row] for k in keys])))
-        return pa.record_batch({"corpus": pa.array([k[0] for k in keys], pa.int16()), "id_range": pa.array([k[1] for k in keys], pa.int64()), "occurrences": flat(0), "records": flat(1)})
+
+def _block_arrays(width: int, corpus_type: pa.DataType):
+    """Counts of a partition sorted by (id_range, corpus, token_id) as arrays by corpus and identifier range.
+
+    Of a range's `width` places the arrays have those that occur, with their place, so they are never wider than the rows they
+    add up. A range that goes on in the next batch comes out twice, which its sum doesn't mind.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            corpus, ids, n = (np.asarray(batch.column(c)) for c in ("corpus", "token_id", "n"))
-            order = np.lexsort((ids, corpus))
-            corpus, ids, n = corpus[order], ids[order], n[order]
-            ranges = ids // width
-            cuts = np.flatnonzero(np.r_[True, (corpus[1:] != corpus[:-1]) | (ranges[1:] != ranges[:-1])]) if len(ids) else []
-            for a, b in zip(cuts, [*cuts[1:], len(ids)], strict=True):
-                arrays = kept.setdefault((int(corpus[a]), int(ranges[a])), np.zeros((2, width), dtype=np.int64))
-                at = ids[a:b] - ranges[a] * width
-                np.add.at(arrays[0], at, n[a:b])
-                arrays[1] += np.bincount(at, minlength=width)
-            if len(kept) >= held:
-                yield emit(kept)
-                kept = {}
-        if kept:
-            yield emit(kept)
+            if not batch.num_rows:
+                continue
+            ranges, ids, n, records = (np.asarray(batch.column(c)) for c in ("id_range", "token_id", "n", "record"))
+            group = np.zeros(batch.num_rows, dtype=bool)
+            group[group_starts(pa.Table.from_batches([batch]), ["id_range", "corpus"])] = True
+            group = np.cumsum(group)
+            places = _runs(group, ids)
+            arrays = _runs(group[places])
+            offsets = pa.array(np.append(arrays, len(places)).astype(np.int32))
+            first = pa.array(places[arrays])
+            lists = lambda values: pa.ListArray.from_arrays(offsets, pa.array(values))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("corpus").take(first).cast(corpus_type), batch.column("id_range").take(first), lists((ids - ranges * width)[places].astype(np.int32)),
+                 lists(np.add.reduceat(n, places)), lists(np.add.reduceat(records, places))], names=["corpus", "id_range", "place", "occurrences", "records"])
 
     return run
 
 
-def _summed(width: int):
-    """The arrays of all blocks added by (corpus, identifier range), as one row for each identifier that occurs."""
+def _summed(width: int, corpus_type: pa.DataType):
+    """The arrays of all partitions added by (corpus, identifier range), as one row for each identifier that occurs."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, total = None, np.zeros((2, width), dtype=np.int64)
 
         def rows() -> pa.RecordBatch:
             at = np.flatnonzero(total[1])
-            return pa.record_batch({"corpus": pa.array(np.full(len(at), key[0]), pa.int16()), "token_id": at + key[1] * width, "occurrences": total[0][at], "records": total[1][at]})
+            return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(at), corpus_type), pa.array(at + key[1] * width), pa.array(total[0][at]), pa.array(total[1][at])], names=["corpus", "token_id", "occurrences", "records"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = pa.Table.from_batches([batch])
-            starts = group_starts(table, ["corpus", "id_range"])
-            lists = [np.asarray(batch.column(c).flatten()).reshape(-1, width) for c in ("occurrences", "records")]
+            starts = group_starts(pa.Table.from_batches([batch]), ["corpus", "id_range"])
+            ends = np.asarray(batch.column("place").value_lengths()).cumsum()
+            places, occurrences, records = (np.asarray(batch.column(c).flatten()) for c in ("place", "occurrences", "records"))
+            at = 0
             for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
-                here = (batch.column("corpus")[a].as_py(), batch.column("id_range")[a].as_py())
+                here = (batch.column("corpus")[int(a)].as_py(), batch.column("id_range")[int(a)].as_py())
                 if key is not None and here != key:
                     yield rows()
                     total[:] = 0
-                key = here
-                for row in (0, 1):
-                    total[row] += lists[row][a:b].sum(axis=0)
+                key, end = here, int(ends[b - 1])
+                np.add.at(total[0], places[at:end], occurrences[at:end])
+                np.add.at(total[1], places[at:end], records[at:end])
+                at = end
         if key is not None:
             yield rows()
 
@@ -96,42 +110,56 @@ def _summed(width: int):
 
 
 def term_frequencies(postings: DataFrame, vocabulary: DataFrame, *, corpus: str, record: str, term: str, count: str, token: Column,
-                     rare_below: int = 5, common_percent: int = 30, width: int = 256, held: int = 4096, broadcast_terms: int = 500_000) -> DataFrame:
+                     rare_below: int = 5, common_percent: int = 30, width: int = 256, broadcast_terms: int = 500_000, broadcast_corpora: int = 100_000) -> DataFrame:
     """(corpus, token, global_term_count, document_frequency, n_records, mark) of every token that occurs, by corpus.
 
     A posting counts if none of its columns is null, its count is at least 1 and its term is in `vocabulary`, where `token`
     is the form under which terms are one. Repeats of (corpus, record, term) are one posting, of unlike counts the greatest.
     `mark` is `rare` below `rare_below` records, else `common` above `common_percent` percent of the corpus's records with a
     counting posting, else null. Extra columns are ignored, so their names may clash; empty tables give an empty result.
-
-    The terms get a dense identifier; postings are encoded and reduced to one row for each (corpus, token, record), with a
-    combine before each shuffle, so neither a hot term nor a hot record gathers in one task. Each partition then adds its
-    rows up in arrays over blocks of `width` identifiers (occurrences, and records that hold the term), and the arrays,
-    not the postings, are shuffled and summed by identifier range. An identifier that every record holds gives the corpus's
-    size in the same pass. The dictionary's two integers a term are broadcast if it has at most `broadcast_terms` (some 20 MB),
-    else postings and dictionary are joined by a shuffle.
+    `corpus` may have any type that can be ordered.
+
+    The terms get a dense identifier, and postings are encoded where they lie. One shuffle, with a combine before it, then
+    leaves one row for each (corpus, record, token), which keeps the counts of the token's first `SLOTS` terms apart; a further
+    term has a row of its own. It also carries one row for each (corpus, record), under an identifier that every record holds,
+    which gives the corpus's size. So neither a hot term nor a hot record gathers in one task. Each partition, sorted by range
+    of `width` identifiers, adds its rows up in arrays (occurrences, and records that hold the term), and the arrays, not the
+    postings, are shuffled and summed by range. The dictionary's three fields a term are broadcast if it has at most
+    `broadcast_terms` (some 20 MB), and the corpora's sizes if they are at most `broadcast_corpora`, else they are joined by a
+    shuffle.
     """
     dictionary = term_dictionary(vocabulary, term, token)
-    codes = dictionary.select("term", "token_id")
+    codes = dictionary.select("term", "token_id", "slot")
     codes = F.broadcast(codes) if dictionary.count() <= broadcast_terms else codes
+    coded = (
+        postings.select(F.col(corpus).alias("corpus"), F.col(record).alias("record"), F.col(term).alias("term"), F.col(count).cast("long").alias("n"))
+        .where("corpus is not null and record is not null and term is not null and n >= 1").join(codes, "term")
+    )
+    no_term = F.lit(None).cast(postings.schema[term].dataType)
+    row = lambda token_id, one, slot, n: F.struct(token_id.cast("long").alias("token_id"), one.alias("term"), slot.cast("int").alias("slot"), n.cast("long").alias("n"))
+    token_id, slot, nothing = F.col("token_id"), F.col("slot"), F.lit(0)
+    whole = row(F.lit(ANY), no_term, nothing, nothing)
+    rows = F.when(slot.isNotNull(), F.array(row(token_id, no_term, slot, F.col("n")), whole)).otherwise(F.array(row(token_id, F.col("term"), nothing, F.col("n")), row(token_id, no_term, nothing, nothing), whole))
     once = (
-        postings.select(F.col(corpus).cast("smallint").alias("corpus"), F.col(record).alias("record"), F.col(term).alias("term"), F.col(count).cast("long").alias("n"))
-        .where("corpus is not null and record is not null and term is not null and n >= 1")
-        .groupBy("corpus", "record", "term").agg(F.max("n").alias("n"))
+        coded.select("corpus", F.col("record").alias("holder"), F.explode(rows).alias("_x"))
+        .groupBy("corpus", "holder", F.col("_x.token_id").alias("token_id"), F.col("_x.term").alias("term"))
+        .agg(*[F.coalesce(F.max(F.when(F.col("_x.slot") == i, F.col("_x.n"))), F.lit(0)).alias(f"_{i}") for i in range(SLOTS)])
+        .select("corpus", "token_id", sum((F.col(f"_{i}") for i in range(1, SLOTS)), F.col("_0")).alias("n"), F.col("term").isNull().cast("long").alias("record"))
     )
-    pairs = (
-        once.join(codes, "term")
-        .select("corpus", "record", F.explode(F.array(F.struct("token_id", "n"), F.struct(F.lit(ANY).cast("long").alias("token_id"), F.lit(0).cast("long").alias("n")))).alias("_x"))
-        .groupBy("corpus", "record", F.col("_x.token_id").alias("token_id")).agg(F.sum("_x.n").alias("n"))
+    kind = postings.schema[corpus].dataType
+    long = T.ArrayType(T.LongType())
+    arrays = T.StructType([T.StructField("corpus", kind), T.StructField("id_range", T.LongType()), T.StructField("place", T.ArrayType(T.IntegerType())), T.StructField("occurrences", long), T.StructField("records", long)])
+    counted = T.StructType([T.StructField("corpus", kind), *[T.StructField(c, T.LongType()) for c in ("token_id", "occurrences", "records")]])
+    blocks = (
+        once.select(F.expr(f"token_id div {int(width)}").alias("id_range"), "corpus", "token_id", "n", "record")
+        .sortWithinPartitions("id_range", "corpus", "token_id").mapInArrow(_block_arrays(width, to_arrow_type(kind)), arrays)
     )
-    arrays = pairs.select("corpus", "token_id", "n").mapInArrow(_block_arrays(width, held), ARRAYS)
-    counts = materialize(
-        arrays.repartition("corpus", "id_range").sortWithinPartitions("corpus", "id_range").mapInArrow(_summed(width), COUNTS), "counts")
-    sizes = counts.where(F.col("token_id") == ANY).select("corpus", F.col("records").alias("n_records"))  # at most 65,536 corpora: a smallint
+    counts = materialize(blocks.repartition("corpus", "id_range").sortWithinPartitions("corpus", "id_range").mapInArrow(_summed(width, to_arrow_type(kind)), counted), "counts")
+    sizes = counts.where(F.col("token_id") == ANY).select("corpus", F.col("records").alias("n_records"))
+    sizes = F.broadcast(sizes) if sizes.count() <= broadcast_corpora else sizes
     few, many = F.col("records") < rare_below, F.col("records") * 100 > F.col("n_records") * common_percent
     return (
-        counts.where(F.col("token_id") != ANY)
-        .join(F.broadcast(sizes), "corpus")
+        counts.where(F.col("token_id") != ANY).join(sizes, "corpus")
         .join(dictionary.select("token", "token_id").distinct(), "token_id")
         .select(F.col("corpus").alias(corpus), "token", F.col("occurrences").alias("global_term_count"), F.col("records").alias("document_frequency"),
                 "n_records", F.when(few, "rare").when(many, "common").alias("mark"))
