@@ -13,13 +13,25 @@ from panelforge.llm.reservoir import sample_distinct
 from panelforge.llm.topn import latest_together, top_n
 
 
+#: Articles in the sample of p2.
+SAMPLE = 5000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def p2_article_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """5,000 articles of those in the news, or all if there are fewer, with the crawl file in which each came first."""
-    return sample_distinct(table(spark, sf_dir, "parsed_news_articles"), "article_id", "warc_path", 5000, buffer=64)
+    return sample_distinct(table(spark, sf_dir, "parsed_news_articles"), "article_id", "warc_path", SAMPLE)
+
+
+def p2_sample_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of the sample, its distinct articles, those whose first crawl file is the right one, and the population."""
+    sample = p2_article_sample(spark, sf_dir)
+    first = table(spark, sf_dir, "parsed_news_articles").where("article_id is not null").groupBy("article_id").agg(F.min("warc_path").alias("first"))
+    known = sample.join(first, "article_id", "left")
+    return known.agg(F.count("*").alias("n_rows"), F.countDistinct("article_id").alias("n_articles"), F.count(F.when(F.col("warc_path").eqNullSafe(F.col("first")), 1)).alias("n_first"), F.max("population").alias("population"))
 
 
 def p3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +107,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_restored(spark, sf_dir).select("doc_id")
 
 
-QUERIES = {"p2_article_sample": p2_article_sample, "p3_found": p3_found, "p3_token_counts": p3_token_counts, "p4_found": p4_found, "p4_ranked": p4_ranked,
+QUERIES = {"p2_article_sample": p2_article_sample, "p2_sample_totals": p2_sample_totals, "p3_found": p3_found, "p3_token_counts": p3_token_counts, "p4_found": p4_found, "p4_ranked": p4_ranked,
            "p6_packing": p6_packing, "p6_fill": p6_fill, "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_clean": p7_clean, "p8_found": p8_found, "p8_restored": p8_restored}
 
 _TERMS = """
@@ -135,6 +147,7 @@ found AS (
     AND contains(' ' || array_to_string(docs.w, ' ') || ' ', ' ' || array_to_string(items.w, ' ') || ' '))
 """
 ORACLES = {
+    "p2_sample_totals": f"WITH known AS (SELECT count(DISTINCT article_id) AS n FROM parsed_news_articles) SELECT least({SAMPLE}, n) AS n_rows, least({SAMPLE}, n) AS n_articles, least({SAMPLE}, n) AS n_first, n AS population FROM known",
     "p7_found": _LEAKS + "SELECT item_id, doc_id FROM found",
     "p3_found": _TERMS + "SELECT corpus_version, token, mark FROM counts WHERE mark IS NOT NULL",
     "p3_token_counts": _TERMS + "SELECT *, mark IS NULL AS is_active FROM counts",

@@ -5,7 +5,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from panelforge.llm.reservoir import GeometricFile, SegmentStore, sample_distinct, split_draw
+from panelforge.llm.queries import SAMPLE
+from panelforge.llm.reservoir import GeometricFile, SegmentStore, buffer_and_tail, reservoirs, sample_distinct, split_draw
 
 
 def drawn(n, size, buffer, seed, folder, tail=2, chunk=97):
@@ -90,3 +91,33 @@ def test_uniform_over_shards(spark):
             hits[int(r.k)] += 1
     z = (hits - 25 / 3) / np.sqrt(25 * 2 / 9)
     assert np.abs(z).max() < 4.5
+
+
+def test_the_registered_sample_writes_and_overwrites_segments(spark):
+    """The parameters of p2_article_sample on 30,000 articles: every shard's file flushes segments and overwrites freed ones."""
+    df = spark.range(45_000).select(F.concat(F.lit("a"), (F.col("id") % 30_000).cast("string")).alias("article_id"), F.concat(F.lit("w"), F.col("id") % 50).alias("warc_path"))
+    samples, populations, draw = reservoirs(df, "article_id", "warc_path", SAMPLE)
+    by_shard = samples.groupBy("_shard").agg(F.max("_written").alias("written"), F.max("_overwritten").alias("overwritten")).collect()
+    assert sum(populations.values()) == 30_000 and sum(draw) == SAMPLE
+    assert all(r.written > 30 and r.overwritten > 10 for r in by_shard)
+
+
+@pytest.mark.parametrize("room", [1, 3, 50, 361, 1478, 5000, 10**6])
+def test_every_room_makes_segments(room):
+    buffer, tail = buffer_and_tail(room)
+    assert 1 <= buffer <= room and (room < 50 or buffer * buffer / room >= tail >= 1)
+
+
+def test_uniform_with_segments_on_disk():
+    """The buffer and tail of production: 4 of 5 rows of a full sample lie in segments at some time, and every record is equally likely."""
+    n, size, trials = 1200, 200, 250
+    buffer, tail = buffer_and_tail(size)
+    hits = np.zeros(n)
+    with tempfile.TemporaryDirectory() as folder:
+        for seed in range(trials):
+            got, written = drawn(n, size, buffer, seed, folder, tail=tail)
+            assert written >= 8 and len(set(got.tolist())) == size
+            hits[got] += 1
+    p = size / n
+    z = (hits - trials * p) / np.sqrt(trials * p * (1 - p))
+    assert np.abs(z).max() < 4.5 and abs((z**2).mean() - 1) < 0.2
