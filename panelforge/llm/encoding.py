@@ -17,16 +17,19 @@ from pyspark.sql import types as T
 
 from panelforge.storage import materialize
 
-# Encodings under which text may have been read wrongly, and those it may have been written in beside UTF-8.
-READ_AS = ("cp1252", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "koi8_r", "cp866", "iso8859_2", "cp1254", "mac_cyrillic", "latin_1")
-WRITTEN_IN = ("cp1252", "cp1250", "cp1251", "mac_roman", "cp850", "koi8_r", "cp866", "iso8859_2")
-#: Times that a passage may have been read wrongly.
-MOST_READINGS = 4
+# Single-byte encodings under which text may have been read wrongly, those it may have been written in, and encodings of several bytes.
+READ_AS = ("cp1252", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "koi8_r", "cp866", "iso8859_2", "cp1254", "mac_cyrillic", "latin_1", "cp1253", "cp1255", "cp1257", "iso8859_5", "iso8859_7", "iso8859_15")
+WRITTEN_IN = ("cp1252", "cp1250", "cp1251", "mac_roman", "cp850", "koi8_r", "cp866", "iso8859_2", "cp1253", "cp1255", "cp1257", "iso8859_5", "iso8859_7")
+MULTIBYTE = ("gbk", "big5", "shift_jis", "euc_jp", "euc_kr")
 #: Buckets of the hashed n-gram counts by order, and under 0 those of the trigrams of character classes: bounds of the model, whatever the corpus.
 CLASSES = 17
 BUCKETS = {0: CLASSES**3, 1: 1 << 16, 2: 1 << 18, 3: 1 << 21}
 #: A stretch of characters beyond ASCII, with the space after it, which may have been a no-break space.
 STRETCH = re.compile(r"[^\x00-\x7f]+ ?")
+#: The same with ASCII characters that may be second bytes of an encoding of several bytes.
+WIDE = re.compile(r"(?:[^\x00-\x7f]+[\x40-\x7e]?)+")
+#: Text with a zero byte for every other one, which was written in UTF-16.
+ZEROS = {"utf_16_le": re.compile("(?:[^\x00]\x00){3,}"), "utf_16_be": re.compile("(?:\x00[^\x00]){3,}")}
 #: What is found out about a longer stretch isn't kept.
 LONG = 64
 LOST = "�"
@@ -90,43 +93,146 @@ def undo_utf8(text: str, encoding: str) -> str | None:
     return "".join(out) if changed else None
 
 
+class _Strict(dict):
+    """A translation of characters beyond ASCII that fails at one it doesn't have."""
+
+    def __missing__(self, code: int) -> int:
+        if code < 0x80:
+            return code
+        raise ValueError(code)
+
+
+@lru_cache(maxsize=None)
+def _to_bytes(encoding: str) -> _Strict:
+    if encoding in MULTIBYTE:
+        return _Strict()
+    return _Strict({ord(c): b for c, b in _bytes_of(encoding).items()})
+
+
+@lru_cache(maxsize=None)
+def _to_chars(encoding: str) -> _Strict:
+    return _Strict({b: c for b, c in _chars_of(encoding).items()})
+
+
+def _as_bytes(text: str, encoding: str) -> str | None:
+    """The bytes of `text` under an encoding, each as the character of its number; None if a character has none."""
+    try:
+        return text.translate(_to_bytes(encoding))
+    except ValueError:
+        return None
+
+
 def undo_single(text: str, read_as: str, written_in: str) -> str | None:
     """`text`, read as one single-byte encoding, as it was written in another; None if a character has no byte or the byte none."""
-    to_byte, to_char, out = _bytes_of(read_as), _chars_of(written_in), []
-    for char in text:
-        if char > "\x7f":
-            char = to_char.get(to_byte.get(char))  # type: ignore[arg-type]
-            if char is None:
-                return None
-        out.append(char)
-    return "".join(out)
+    raw = _as_bytes(text, read_as)
+    try:
+        return None if raw is None else raw.translate(_to_chars(written_in))
+    except ValueError:
+        return None
+
+
+@lru_cache(maxsize=None)
+def _utf8_parts(encoding: str) -> tuple[frozenset[str], frozenset[str]]:
+    """Characters that may stand for a first, and for a further byte of UTF-8 read as `encoding`."""
+    either = lambda low, high: frozenset(v for c, b in _bytes_of(encoding).items() if low <= b <= high for v in (c, c.upper(), c.lower()))
+    return either(0xC2, 0xF4), either(0x80, 0xBF) | {" "}
+
+
+def _undo_multibyte(text: str) -> Iterator[tuple[str, str]]:
+    """(restored, chain) of `text` written in an encoding of several bytes and read as one of single bytes."""
+    for read_as in READ_AS:
+        raw = _as_bytes(text, read_as)
+        if raw is not None:
+            for written_in in MULTIBYTE:
+                try:
+                    yield raw.encode("latin-1").decode(written_in), f"{read_as}>{written_in} "
+                except UnicodeError:
+                    pass
+
+
+def _undo_utf8(text: str) -> list[tuple[str, str]]:
+    """(restored, chain) of `text` written in UTF-8 and read otherwise, each shorter than `text`: those that leave no character beyond ASCII as it was, else all."""
+    if len(text) < 2:
+        return []
+    seen, made = set(text), []
+    for encoding in READ_AS:
+        first, further = _utf8_parts(encoding)
+        if not first.isdisjoint(seen) and not further.isdisjoint(seen) and (back := undo_utf8(text, encoding)) is not None:
+            made.append((back, f"{encoding}>utf8 "))
+    for encoding in MULTIBYTE:
+        try:
+            back = text.encode(encoding).decode("utf-8")
+        except UnicodeError:
+            continue
+        if len(back) < len(text):
+            made.append((back, f"{encoding}>utf8 "))
+    whole = [(back, chain) for back, chain in made if len(back.encode("utf-8", "replace")) <= len(text)]
+    return whole or made
+
+
+def _undo_singles(text: str) -> Iterator[tuple[str, str]]:
+    """(restored, chain) of `text` written in one single-byte encoding, or one of several bytes, and read as another."""
+    for read_as in READ_AS:
+        raw = _as_bytes(text, read_as)
+        if raw is not None:
+            for written_in in WRITTEN_IN:
+                if written_in != read_as:
+                    try:
+                        yield raw.translate(_to_chars(written_in)), f"{read_as}>{written_in} "
+                    except ValueError:
+                        pass
+    yield from _undo_multibyte(text)
 
 
 @lru_cache(maxsize=4096)
 def restorations(text: str) -> tuple[tuple[str, str], ...]:
     """(restored text, chain) for every way in which `text` may have been misread, each restored text with its shortest chain.
 
-    Few are kept, as a text has dozens; a model keeps the handful that its characters allow.
+    UTF-8 read otherwise is undone as often as it goes, as every such step shortens the text; before the first and after each
+    of them, text of another encoding read otherwise is undone once, after it only where every byte is as it was (a space for a
+    no-break space, or another case, is allowed for in UTF-8 alone).
     """
     found: dict[str, str] = {}
-    edge = [(text, "")]
-    for step in range(MOST_READINGS):
+    edge, known = [(text, "", True)], {text}
+    while edge:
         made = []
-        for now, chain in edge:
-            for encoding in READ_AS:
-                back = undo_utf8(now, encoding)
-                if back is not None and back != text and back not in found:
-                    found[back] = f"{chain}{encoding}>utf8 "
-                    made.append((back, found[back]))
-            if step == 0:
-                for read_as in READ_AS:
-                    for written_in in WRITTEN_IN:
-                        if read_as != written_in and (back := undo_single(now, read_as, written_in)) is not None and back != text and back not in found:
-                            found[back] = f"{read_as}>{written_in} "
+        for now, chain, exact in edge:
+            for back, step in _undo_utf8(now):
+                if back not in known:
+                    known.add(back)
+                    found[back] = chain + step
+                    made.append((back, found[back], exact and _as_bytes(now, step.split(">")[0]) == back.encode("utf-8").decode("latin-1")))
+            for back, step in _undo_singles(now) if exact else ():
+                if back not in known:
+                    found.setdefault(back, chain + step)
         edge = made
     return tuple(found.items())
 
 
+@lru_cache(maxsize=4096)
+def wide_restorations(text: str) -> tuple[tuple[str, str], ...]:
+    """The same for a stretch whose ASCII characters may be second bytes."""
+    found: dict[str, str] = {}
+    for back, chain in _undo_multibyte(text):
+        if len(back) < len(text):
+            found.setdefault(back, chain)
+    return tuple(found.items())
+
+
+def undo_zeros(text: str) -> tuple[str, list[str]]:
+    """`text` with its stretches of UTF-16 read byte by byte decoded, and their chains."""
+    chains = []
+    if "\x00" in text:
+        for written_in, pattern in ZEROS.items():
+            try:
+                back = pattern.sub(lambda m: m.group().encode("latin-1").decode(written_in), text)  # noqa: B023
+            except UnicodeError:
+                continue
+            if back != text:
+                text, chains = back, [*chains, f"latin_1>{written_in}"]
+    return text, chains
+
+
 def _class(char: str) -> int:
     """Class of a character: by script and case for letters, by kind for all else."""
     kind = unicodedata.category(char)
@@ -188,15 +294,18 @@ class NgramModel:
         of_class = np.bincount(_class_table(), weights=counts[1], minlength=CLASSES)
         #: Share of each character in its class. An unseen one is far rarer than any seen, so a restored text can't win by being short.
         self.share = ((counts[1] + 1e-6) / np.maximum(of_class[_class_table()], 1)).astype(np.float32)
+        #: No trigram is likelier than any of its characters, so these bound the score of a text.
+        self.most = np.where(np.arange(len(counts[1])) < 0x80, 0.0, np.log((counts[1] + 1e-3) / self.total)).astype(np.float32)
         self._start()
 
     def _start(self) -> None:
         self._trigrams: dict[str, float] = {}
-        self._plausible: dict[str, list[tuple[str, str]]] = {}
-        self._best: dict[tuple[str, str, str], tuple[str, str, float]] = {}
+        self._options: dict[tuple[str, bool], list[tuple[float, str, str, int]]] = {}
+        self._best: dict[tuple[str, str, str, bool], tuple[str, str, float]] = {}
+        self._bounds: dict[str, float] = {}
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("_trigrams", "_plausible", "_best")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_trigrams", "_options", "_best", "_bounds")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -229,29 +338,53 @@ class NgramModel:
             total += one
         return total
 
-    def plausible(self, piece: str) -> list[tuple[str, str]]:
-        """The restorations of `piece` whose characters all occur in the clean records."""
-        found = self._plausible.get(piece)
+    def bound(self, text: str) -> float:
+        """What the score of `text`, among whatever neighbours, can't exceed."""
+        known, total = self._bounds, 0.0
+        for char in text:
+            one = known.get(char)
+            if one is None:
+                one = known[char] = float(self.most[min(ord(char), 0xFFFF)])
+            total += one
+        return total
+
+    def options(self, piece: str, wide: bool) -> list[tuple[float, str, str, int]]:
+        """(bound, restored, chain, rank) of the restorations of `piece`, by rank and bound: 0 for readings of one kind, 1 for chains of UTF-8 and other encodings, 2 for all with characters that the clean records lack."""
+        found = self._options.get((piece, wide))
         if found is None:
-            made = restorations(piece) if len(piece) <= LONG else restorations.__wrapped__(piece)
-            found = [(r, chain) for r, chain in made if all(self.one[min(ord(c), 0xFFFF)] > 0 for c in r if c > "\x7f")]
+            make = wide_restorations if wide else restorations
+            made = make(piece) if len(piece) <= LONG else make.__wrapped__(piece)
+            unknown = lambda r: any(self.one[min(ord(c), 0xFFFF)] == 0 for c in r if c > "\x7f")
+            mixed = lambda chain: len({step.endswith(">utf8") for step in chain.split()}) > 1
+            found = sorted(((self.bound(r), r, chain, 2 if unknown(r) else int(mixed(chain))) for r, chain in made), key=lambda o: (o[3], -o[0]))
             if len(piece) <= LONG:
-                if len(self._plausible) > 200_000:
-                    self._plausible.clear()
-                self._plausible[piece] = found
+                if len(self._options) > 20_000:
+                    self._options.clear()
+                self._options[piece, wide] = found
         return found
 
-    def best(self, before: str, piece: str, after: str) -> tuple[str, str, float]:
-        """(restored, chain, gain) of the likeliest restoration of `piece` between its neighbours; an empty chain if there is none."""
-        options = self.plausible(piece)
-        if not options:
-            return piece, "", -math.inf
-        key = (before, piece, after)
+    def best(self, before: str, piece: str, after: str, wide: bool = False) -> tuple[str, str, float]:
+        """(restored, chain, gain) of the likeliest restoration of `piece` between its neighbours; an empty chain if none is likelier than `piece`.
+
+        Characters that the clean records lack make a restoration unlikely, not impossible: it counts where none without them is
+        likelier than `piece`, and one by a mixed chain where none by a plain one is. Those whose bound is too low to win needn't be scored.
+        """
+        key = (before, piece, after, wide)
         found = self._best.get(key)
         if found is None:
-            own = self.score(before + piece + after)
-            restored, chain = max(options, key=lambda o: self.score(before + o[0] + after))
-            found = (restored, chain, self.score(before + restored + after) - own)
+            options = self.options(piece, wide)
+            own = self.score(before + piece + after) if options else 0.0
+            top, found = own, (piece, "", -math.inf)
+            tried = 0
+            for bound, restored, chain, rank in options:
+                if rank > tried and found[1]:
+                    break
+                tried = rank
+                if bound <= top:
+                    continue
+                score = self.score(before + restored + after)
+                if score > top:
+                    top, found = score, (restored, chain, score - own)
             if len(piece) <= LONG:
                 if len(self._best) > 300_000:
                     self._best.clear()
@@ -260,12 +393,12 @@ class NgramModel:
 
 
 def best_restorations(text: str, model: NgramModel) -> Iterator[tuple[int, int, str, str, float]]:
-    """(from, to, restored, chain, gain) of every stretch beyond ASCII that some chain changes: the likeliest, by log probability over the text as it is.
+    """(from, to, restored, chain, gain) of every stretch beyond ASCII that some chain makes likelier: the likeliest, by log probability over the text as it is.
 
     The two characters before a stretch are taken as restored, those after it as far as they are ASCII.
     """
     tail, at = "  ", 0
-    for stretch in STRETCH.finditer(text):
+    while stretch := STRETCH.search(text, at):
         begin, end = stretch.span()
         whole = stretch.group()
         piece = whole.rstrip(" ")
@@ -273,6 +406,9 @@ def best_restorations(text: str, model: NgramModel) -> Iterator[tuple[int, int,
         restored, chain, gain = model.best(before, piece, _after(text, begin + len(piece)))
         if len(whole) > len(piece) and (spaced := model.best(before, whole, _after(text, end)))[2] > gain:
             piece, (restored, chain, gain) = whole, spaced
+        broad = WIDE.match(text, begin).group()
+        if not chain and len(broad) > len(whole) and (read := model.best(before, broad, _after(text, begin + len(broad)), True))[2] > gain:
+            piece, (restored, chain, gain) = broad, read
         at = begin + len(piece)
         if chain:
             yield begin, at, restored, chain, gain
@@ -390,23 +526,24 @@ def validated_margin(texts: DataFrame, model: NgramModel) -> float:
 
 def restore(text: str, model: NgramModel, margin: float) -> tuple[str, list[str], float]:
     """(text, chains, greatest gain): every stretch restored whose gain is beyond the margin, and those of the same chains that gain at all."""
+    text, zeros = undo_zeros(text)
     found = list(best_restorations(text, model))
     chains = {chain for *_, chain, gain in found if gain > margin}
     if not chains:
-        return text, [], max((gain for *_, gain in found), default=0.0)
+        return text, zeros, max((gain for *_, gain in found), default=0.0)
     out, at = [], 0
     for begin, end, restored, chain, gain in found:
         if chain in chains and gain > 0:
             out += [text[at:begin], restored]
             at = end
-    return "".join([*out, text[at:]]), sorted(c.strip() for c in chains), max(gain for *_, gain in found)
+    return "".join([*out, text[at:]]), zeros + sorted(c.strip() for c in chains), max(gain for *_, gain in found)
 
 
 def garbled_records(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, restored_text, chains, gain, n_lost) of every document with a passage that was decoded under a wrong encoding.
 
     A passage is a stretch of characters beyond ASCII. It is garbled if reversing some chain of misreadings (UTF-8 or a
-    single-byte encoding read as another, up to four times, re-cased or with the no-break space made a space since) makes it
+    encoding of one or several bytes read as another, any number of times, re-cased or with the no-break space made a space since) makes it
     likelier, with the two characters on either side, by more than a margin; `chains` has the chains, `restored_text` the
     text with all such passages restored. A U+FFFD stands for bytes that were lost, so a document with one (`n_lost` of
     them) is always garbled, and only its other passages can be restored; then, and if nothing was restored, `restored_text`
@@ -431,7 +568,7 @@ def garbled_records(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
         for batch in batches:
             rows = []
             for d, t in zip(batch.column("d").to_pylist(), batch.column("t").to_pylist(), strict=True):
-                if t.isascii():
+                if t.isascii() and "\x00" not in t:
                     continue
                 restored, chains, gain = restore(t, shared.value, margin)
                 lost = t.count(LOST)

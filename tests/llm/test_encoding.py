@@ -91,3 +91,41 @@ def test_copies_teach_nothing(spark):
     copies = [(10_000 + i, bad[i % 2]) for i in range(len(plain) // 2)]
     df = spark.createDataFrame(plain + copies, "doc_id long, text string").repartition(4)
     assert {r.doc_id for r in E.garbled_records(df).collect()} == {d for d, _ in copies}
+
+
+@pytest.mark.parametrize("times", [1, 2, 4, 5, 6])
+def test_any_number_of_readings(times):
+    for source in ("é", "“Café”"):
+        text = source
+        for _ in range(times):
+            text = text.encode("utf-8").decode("latin-1")
+        assert source in [r for r, _ in E.restorations(text)]
+
+
+@pytest.mark.parametrize("source,written_in,read_as", [("中国股市上涨", "gbk", "cp1252"), ("日本の株", "shift_jis", "mac_roman"), ("Αθήνα", "cp1253", "cp1252"), ("한국", "euc_kr", "latin_1")])
+def test_other_encodings(source, written_in, read_as):
+    assert source in [r for r, _ in E.restorations(source.encode(written_in).decode(read_as))]
+
+
+def test_single_bytes_after_utf8():
+    once = "Совет".encode("cp1251").decode("cp1252")
+    assert "Совет" in [r for r, _ in E.restorations(once.encode("utf-8").decode("cp1252"))]
+
+
+def test_utf16_read_byte_by_byte():
+    assert E.undo_zeros("a " + "Größe".encode("utf-16-le").decode("latin-1")) == ("a Größe", ["latin_1>utf_16_le"])
+    assert E.undo_zeros("plain") == ("plain", [])
+
+
+def test_other_scripts_are_found(spark):
+    """Chinese, Greek and text read five times among clean records of the same languages."""
+    clean = SENTENCES + ["中国股市上涨，投资者欢迎公司的决定。", "公司今天宣布在中国投资建厂。", "Η εταιρεία ανακοίνωσε αύξηση των πωλήσεων στην Αθήνα."]
+    rng = random.Random(8)
+    docs = [(i, " ".join(rng.choice(clean) for _ in range(2))) for i in range(800)]
+    five = SENTENCES[0]
+    for _ in range(5):
+        five = five.encode("utf-8").decode("latin-1")
+    bad = {9001: clean[-3].encode("gbk").decode("cp1252", "ignore"), 9002: clean[-1].encode("cp1253").decode("cp1252"), 9003: five}
+    found = {r.doc_id: r for r in E.garbled_records(spark.createDataFrame(docs + list(bad.items()), "doc_id long, text string")).collect()}
+    assert set(found) == set(bad)
+    assert found[9002].restored_text == clean[-1] and found[9003].restored_text == SENTENCES[0]
