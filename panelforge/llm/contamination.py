@@ -57,6 +57,8 @@ class ItemAutomaton:
                     at = self.link[at]
             if len(code) < min_words:
                 self.whole[state].append((len(code), number))
+        #: The different lengths of a state's complete items, the longest first.
+        self.whole_sizes = [sorted({words for words, _ in held}, reverse=True) for held in self.whole]
         #: The nearest state on the way up the links, itself included, that has a complete short item.
         self.next_whole = [0] * len(self.link)
         for state in sorted(range(1, len(self.link)), key=self.length.__getitem__):
@@ -107,12 +109,15 @@ class ItemAutomaton:
         unknown = np.flatnonzero(code < 0)
         gaps = np.diff(np.concatenate([[-1], unknown, [len(words)]])) - 1
         begins = np.concatenate([[0], unknown + 1])
+        reached: dict[int, int] = {}
         for k in np.flatnonzero(gaps >= self.shortest):
             begin = int(begins[k])
-            self._scan_run(code[begin : begin + int(gaps[k])].tolist(), begin, found, spans)
+            self._scan_run(code[begin : begin + int(gaps[k])].tolist(), begin, reached, spans)
+        self._resolve(reached, found)
         return found, spans
 
-    def _scan_run(self, code: list[int], begin: int, found: dict[int, int], spans: list[tuple[int, int]]) -> None:
+    def _scan_run(self, code: list[int], begin: int, reached: dict[int, int], spans: list[tuple[int, int]]) -> None:
+        """Adds the states that a run of known words reaches, each with its longest match, and the matched spans."""
         follow, link, length, least, shortest = self.follow, self.link, self.length, self.min_words, self.shortest
         state = size = 0
         for place, word in enumerate(code, begin + 1):
@@ -126,24 +131,36 @@ class ItemAutomaton:
             state, size = onward, size + 1
             if size < shortest:
                 continue
+            if reached.get(state, 0) < size:
+                reached[state] = size
             if size >= least:
                 spans.append((place - size, place))
-                at, match = state, size
-                while True:
+                continue
+            at = self.next_whole[state]
+            while at:
+                words = next((w for w in self.whole_sizes[at] if w <= size), 0)
+                if words:
+                    spans.append((place - words, place))
+                    break
+                at = self.next_whole[link[at]]
+
+    def _resolve(self, reached: dict[int, int], found: dict[int, int]) -> None:
+        """Adds the items that the reached states and those up their links stand for; a state is looked up once a text, however often the text reaches it."""
+        done: set[int] = set()
+        for state, match in reached.items():
+            at = state
+            while at and at not in done:
+                if match >= self.min_words:
                     for item in self.holders[at]:
                         if found.get(item, 0) < match:
                             found[item] = match
-                    at = link[at]
-                    match = length[at]
-                    if match < least:
-                        break
-            at = self.next_whole[state]
-            while at:
                 for words, item in self.whole[at]:
-                    if words <= size:
+                    if words <= match:
                         found[item] = words
-                        spans.append((place - words, place))
-                at = self.next_whole[link[at]]
+                if match == self.length[at]:
+                    done.add(at)  # and with it all up its links
+                at = self.link[at]
+                match = self.length[at]
 
 
 def _automata(items: DataFrame, item_id: str, text: str, min_words: int, block_words: int) -> Iterator[ItemAutomaton]:

@@ -109,3 +109,21 @@ def test_removed_text_is_clean(spark):
     for r in cut:
         assert len(words_of(r.clean_text)) == r.n_words - r.leaked_words == len(words_of(texts[r.doc_id])) - r.leaked_words
         assert r.drop == (r.leaked_words > 0.5 * r.n_words)
+
+
+def test_a_shared_preamble_is_looked_up_once_a_text():
+    """4,000 items share 60 words: a text that repeats the preamble ten times looks each state's items up no more often than a text with one."""
+    class Counted(list):
+        reads = 0
+
+        def __iter__(self):
+            Counted.reads += len(self)
+            return super().__iter__()
+
+    preamble = [f"p{i}" for i in range(60)]
+    known = ItemAutomaton([(i, preamble + [f"own{i}"]) for i in range(4000)], 13)
+    known.holders = [Counted(h) for h in known.holders]
+    known.scan(preamble)
+    once, Counted.reads = Counted.reads, 0
+    found, _ = known.scan((preamble + ["between"]) * 10)
+    assert Counted.reads <= once and len(found) == 4000 and set(found.values()) == {60}
