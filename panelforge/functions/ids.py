@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Namespace of evidence identifiers.
+# Fixed value: namespace of evidence identifiers.
 NAMESPACE = uuid.UUID("0df0b2a5-e0ba-426a-ab31-4ea724f356ce")
 
 

@@ -25,6 +25,11 @@ def orphans(df: DataFrame, parent: DataFrame, columns: dict[str, str]) -> DataFr
     return df.dropna(subset=list(columns)).join(keys, list(columns), "left_anti")
 
 
+def outside_window(df: DataFrame, day: Column, lo: Column, hi: Column) -> DataFrame:
+    """Rows whose day isn't within [lo, hi); one with a null day or bound breaks nothing."""
+    return df.where((day < lo) | (day >= hi))
+
+
 def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n_rows")).where("n_rows > 1")
 

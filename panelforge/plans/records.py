@@ -115,6 +115,13 @@ def c8_orphan_postings(spark, sf_dir):
     return checks.orphans(table(spark, sf_dir, "lda_document_terms"), table(spark, sf_dir, "lda_vocabulary"), {"term_id": "term_id"}).groupBy("corpus_version").agg(F.count("*").alias("n_rows"))
 
 
+def c3_filed_outside_window(spark, sf_dir):
+    """Evidence filed on a day (UTC) outside the window that it supports, by type."""
+    rows = table(spark, sf_dir, "ticker_cik_mapping").select("evidence_type", "filed_at", window_bounds(F.col("validity_window")).alias("w"))
+    filed = F.floor(F.unix_seconds("filed_at") / 86400)
+    return checks.outside_window(rows, filed, F.col("w.lo"), F.col("w.hi")).groupBy("evidence_type").agg(F.count("*").alias("n_rows"))
+
+
 def c6_repeated_members(spark, sf_dir):
     return checks.repeated_keys(table(spark, sf_dir, "snp_membership"), ["cik", "trading_day"])
 
@@ -293,7 +300,7 @@ def t33_event_properties(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     w6_canonical_evidence, a2_candidate_features, a4_resolved_tickers, a11_name_spans, w13_first_and_last_seen, j12_alias_rewriting, j16_evidence_of_mapped_pairs, s33_candidate_override, t1_tickers, t2_company_names,
-    t13_evidence_ids, t28_window_texts, t39_window_split, j19_firm_mentions, c1_overlapping_windows, c2_broken_rules, c8_orphan_postings, c6_repeated_members, a22_expected_firms, j1_as_of_fundamentals, w0_price_features,
+    t13_evidence_ids, t28_window_texts, t39_window_split, j19_firm_mentions, c1_overlapping_windows, c2_broken_rules, c3_filed_outside_window, c8_orphan_postings, c6_repeated_members, a22_expected_firms, j1_as_of_fundamentals, w0_price_features,
     w12_forecast_ranks, k3_latest_forecasts, w8_top_terms, a16_rebuilt_texts, a6_pruned_documents, a14_frequency_of_frequencies, k21_term_ids, t4_tokens, t5_token_types, t10_stemmed_counts, t11_coherence_tokens,
     f14_english_confidence, s43_distinct_texts, a18_firm_topics, j11_topic_selection, a19_exposure_summary, m1_trained_topics, m5_topic_coherence, a15_dropped_firms, u2_all_pairs, t33_event_properties)}
 
@@ -363,6 +370,9 @@ ORACLES = {
     "c1_overlapping_windows": _EVIDENCE + "SELECT ticker, count(*) AS n_overlaps FROM (SELECT *, max(coalesce(end_day, DATE '9999-12-31')) OVER (PARTITION BY ticker ORDER BY start_day, end_day NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS busy FROM mapped) WHERE start_day < busy GROUP BY 1",
     "c2_broken_rules": """SELECT unnest(['known_session', 'positive_word_count', 'confidence_share', 'firms_named', 'few_firms_if_short', 'crawled_after_day']) AS rule, unnest([count(*) FILTER (NOT session IN ('intraday', 'overnight')),
   count(*) FILTER (NOT word_count > 0), count(*) FILTER (NOT language_confidence BETWEEN 0 AND 1), count(*) FILTER (NOT len(cik_list) > 0), count(*) FILTER (NOT (NOT word_count < 60 OR len(cik_list) <= 3)), count(*) FILTER (NOT CAST(warc_date_utc AT TIME ZONE 'UTC' AS DATE) >= trading_day)]) AS n_rows FROM parsed_news_articles""",
+    "c3_filed_outside_window": """WITH raw AS (SELECT evidence_type, CAST(filed_at AT TIME ZONE 'UTC' AS DATE) AS filed, TRY_CAST(substr(validity_window, 2, 10) AS DATE) + CASE WHEN validity_window LIKE '(%' THEN 1 ELSE 0 END AS lo,
+    CASE WHEN regexp_matches(validity_window, ',\\s*[\\])]$') THEN DATE '9999-12-31' ELSE TRY_CAST(regexp_extract(validity_window, ',\\s*([0-9-]{10})', 1) AS DATE) + CASE WHEN validity_window LIKE '%]' THEN 1 ELSE 0 END END AS hi FROM ticker_cik_mapping)
+  SELECT evidence_type, count(*) AS n_rows FROM raw WHERE lo < hi AND (filed < lo OR filed >= hi) GROUP BY 1""",
     "c8_orphan_postings": "SELECT corpus_version, count(*) AS n_rows FROM lda_document_terms WHERE term_id IS NOT NULL AND term_id NOT IN (SELECT term_id FROM lda_vocabulary) GROUP BY 1",
     "c6_repeated_members": "SELECT cik, trading_day, count(*) AS n_rows FROM snp_membership GROUP BY 1, 2 HAVING count(*) > 1",
     "a22_expected_firms": "SELECT count(DISTINCT cik) AS n_rows, CAST(120 AS BIGINT) AS expected, count(DISTINCT cik) = 120 AS ok FROM security_profile_history",

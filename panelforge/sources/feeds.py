@@ -33,7 +33,7 @@ def captures(df: DataFrame, payload: str, keys: list[str], url: str = "original"
     """(keys, url, captured_at) of an index whose first row has the names of the others' fields."""
     parsed = df.select(*keys, F.from_json(payload, "array<array<string>>").alias("rows")).where(F.size("rows") > 1)
     header = F.element_at("rows", 1)
-    each = parsed.select(*keys, header.alias("h"), F.explode(F.slice("rows", 2, 1 << 24)).alias("r"))
+    each = parsed.select(*keys, header.alias("h"), F.explode(F.slice("rows", F.lit(2), F.size("rows"))).alias("r"))
     cell = lambda name: F.try_element_at("r", F.array_position("h", name).cast("int"))
     has = (F.array_position("h", url) > 0) & (F.array_position("h", ts) > 0)
     return each.where(has).select(*keys, cell(url).alias("url"), F.try_to_timestamp(cell(ts), F.lit("yyyyMMddHHmmss")).alias("captured_at"))

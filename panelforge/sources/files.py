@@ -58,7 +58,7 @@ def document_topics(spark: SparkSession, path: str) -> DataFrame:
     """(doc_index, instance_id, topic_id, topic_proportion) of a trainer's text: index, id and one proportion a topic, by white space. A bad number fails the job; `#` lines and blank ones are skipped."""
     rows = spark.read.text(path).select(F.trim("value").alias("v")).where((F.col("v") != "") & ~F.col("v").startswith("#")).select(F.split("v", r"\s+").alias("f"))
     checked = rows.select(F.when(F.size("f") >= 3, F.col("f")).otherwise(F.raise_error(F.concat(F.lit("too few fields: "), F.array_join("f", " ")))).alias("f"))
-    return checked.select(F.element_at("f", 1).cast("int").alias("doc_index"), F.element_at("f", 2).alias("instance_id"), F.posexplode(F.slice("f", 3, 1 << 20)).alias("topic_id", "p")).select(
+    return checked.select(F.element_at("f", 1).cast("int").alias("doc_index"), F.element_at("f", 2).alias("instance_id"), F.posexplode(F.slice("f", F.lit(3), F.size("f"))).alias("topic_id", "p")).select(
         "doc_index", "instance_id", "topic_id", F.col("p").cast("double").alias("topic_proportion"))
 
 

@@ -160,3 +160,11 @@ def test_checks(spark):
     assert rows(checks.overlapping_windows(df, ["k"], "lo", "hi")) == [("a", 4, 9)]
     assert rows(checks.failing(df, {"small": F.col("hi") < 10, "null": F.lit(None).cast("boolean")})) == [("null", 0), ("small", 1)]
     assert checks.orphans(df, spark.createDataFrame([("a",)], "key string"), {"k": "key"}).count() == 1
+
+
+def test_outside_window(spark):
+    rows = [(1, 1, 3), (2, 1, 3), (3, 1, 3), (0, 1, 3), (None, 1, 3), (5, None, 3)]
+    df = spark.createDataFrame(rows, "day int, lo int, hi int")
+    from panelforge.operators.checks import outside_window
+
+    assert sorted(r.day for r in outside_window(df, F.col("day"), F.col("lo"), F.col("hi")).collect()) == [0, 3]
