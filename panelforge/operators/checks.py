@@ -27,7 +27,7 @@ def orphans(df: DataFrame, parent: DataFrame, columns: dict[str, str]) -> DataFr
 
 def outside_window(df: DataFrame, day: Column, lo: Column, hi: Column) -> DataFrame:
     """Rows whose day isn't within [lo, hi); one with a null day or bound breaks nothing."""
-    return df.where((day < lo) | (day >= hi))
+    return df.where(lo.isNotNull() & hi.isNotNull() & ((day < lo) | (day >= hi)))
 
 
 def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
