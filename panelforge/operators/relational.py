@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.operators.temporal import following_days
+from panelforge.storage import materialize
 
 
 def without(df: DataFrame, excluded: DataFrame, keys: list[str]) -> DataFrame:
@@ -28,19 +29,39 @@ def latest_per_key(df: DataFrame, keys: list[str], *order) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
-def contained_sets(elements: DataFrame, sets: DataFrame, holder: str, name: str, element: str, ignored: tuple[str, ...] = ()) -> DataFrame:
+def contained_sets(elements: DataFrame, sets: DataFrame, holder: str, name: str, element: str, ignored: tuple[str, ...] = (), broadcast_up_to: int = 50_000) -> DataFrame:
     """(holder, name) where the holder has every element of the named set, and each that isn't in `ignored` more than once.
 
-    A set of ignored elements alone matches nothing, empty elements are dropped. Candidates come from an equality join on the element of a set
-    that the fewest sets have, so a word that many names share makes none; the other elements are then looked up for the candidates only.
+    A set of ignored elements alone matches nothing, empty elements are dropped. Names of equal sets are one set, found by its two rarest elements:
+    elements that no set has go first (by a broadcast of the others up to `broadcast_up_to`, counted before), then a holder's elements are joined to
+    the first of the two, met with the second ones there, and only sets that have both are compared as a whole. Of elements partitioned by `holder`
+    neither the rows nor the counts are shuffled.
     """
-    counts = elements.where(F.col(element) != "").groupBy(holder, element).agg(F.count("*").alias("_n"))
-    wanted = sets.where(F.col(element) != "").select(name, element).distinct().withColumn("_key", ~F.col(element).isin(list(ignored)) if ignored else F.lit(True))
+    wanted = sets.where((F.col(element) != "") & F.col(name).isNotNull()).select(name, element).distinct()
     spread = wanted.groupBy(element).agg(F.count("*").alias("_sets"))
-    rarest = wanted.join(spread, element).groupBy(name).agg(F.min(F.when(F.col("_key"), F.struct(F.col("_sets"), F.col(element)))).alias("_rare"), F.count("*").alias("_size")).where("_rare is not null")
-    candidates = counts.where("_n > 1").join(rarest.select(name, "_size", F.col(f"_rare.{element}").alias(element)), element).select(holder, name, "_size")
-    found = candidates.join(wanted, name).join(counts, [holder, element]).groupBy(holder, name, "_size").agg(F.count("*").alias("_found"), F.min(F.when(F.col("_key"), F.col("_n"))).alias("_least"))
-    return found.where("_found = _size and _least > 1").select(holder, name)
+    plain = F.col(element).isin(list(ignored)) if ignored else F.lit(False)
+    ordered = wanted.join(spread.hint("merge"), element).groupBy(name).agg(
+        F.transform(F.sort_array(F.collect_list(F.when(~plain, F.struct("_sets", element)))), lambda s: s[element]).alias("_keys"), F.sort_array(F.collect_list(F.when(plain, F.col(element)))).alias("_plain"))
+    equal = ordered.where(F.size("_keys") > 0).groupBy("_keys", "_plain").agg(F.collect_list(name).alias("_names"))
+    # an empty second element stands for none
+    equal = materialize(equal.select(F.col("_keys")[0].alias("_a"), F.when(F.size("_keys") > 1, F.get("_keys", F.lit(1))).otherwise("").alias("_b"), F.expr("slice(_keys, 3, greatest(size(_keys) - 2, 0))").alias("_rest"), "_plain", "_names"), "sets")
+
+    parts = F.array(F.struct(F.col("_a").alias("e"), F.lit(True).alias("first")), F.struct(F.col("_b").alias("e"), F.lit(False).alias("first")))
+    others = F.transform(F.concat("_rest", "_plain"), lambda e: F.struct(e.alias("e"), F.lit(False).alias("first")))
+    known = equal.select(F.explode(F.concat(parts, others)).alias("x")).groupBy(F.col("x.e").alias(element)).agg(F.max("x.first").alias("_first")).where(F.col(element) != "")
+    few = known.limit(broadcast_up_to + 1).count() <= broadcast_up_to
+    if few:
+        counts = elements.join(F.broadcast(known), element).groupBy(holder, element, "_first").agg(F.count("*").alias("_n"))
+    else:
+        counts = elements.groupBy(holder, element).agg(F.count("*").alias("_n")).join(known.hint("merge"), element)
+    held = counts.where(plain | (F.col("_n") > 1)).groupBy(holder).agg(
+        F.collect_list(F.when(~plain, F.col(element))).alias("_held"), F.collect_list(F.when(plain, F.col(element))).alias("_held_plain"), F.collect_list(F.when(~plain & F.col("_first"), F.col(element))).alias("_firsts"))
+    seconds = equal.groupBy("_a").agg(F.collect_set("_b").alias("_seconds"))
+    starts = held.select(holder, "_held", "_held_plain", F.explode("_firsts").alias("_a")).join(seconds.hint("merge"), "_a")
+    pairs = starts.select(holder, "_held", "_held_plain", "_a", F.explode(F.array_intersect("_seconds", F.concat("_held", F.array(F.lit(""))))).alias("_b"))
+    whole = lambda part, of: (F.size(part) == 0) | (F.size(F.array_except(part, of)) == 0)
+    found = pairs.join(equal.hint("merge"), ["_a", "_b"]).where(whole("_rest", "_held") & whole("_plain", "_held_plain"))
+    return found.select(holder, F.explode("_names").alias(name))
 
 
 def upsert(current: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:

@@ -93,7 +93,8 @@ def t39_window_split(spark, sf_dir):
 
 
 def j19_firm_mentions(spark, sf_dir):
-    articles = table(spark, sf_dir, "parsed_news_articles").select("article_id", "full_text").distinct()
+    # an article's texts in one row, so the words stay where they are
+    articles = table(spark, sf_dir, "parsed_news_articles").groupBy("article_id").agg(F.collect_set("full_text").alias("texts")).select("article_id", F.explode("texts").alias("full_text"))
     words = lambda c: F.regexp_extract_all(F.upper(c), F.lit("[A-Z0-9]+"), 0)
     elements = articles.select("article_id", F.explode(words(F.col("full_text"))).alias("word"))
     names = table(spark, sf_dir, "security_profile_history").select("company_name").distinct().select("company_name", F.explode(words(F.col("company_name"))).alias("word"))

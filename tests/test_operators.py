@@ -168,3 +168,16 @@ def test_outside_window(spark):
     from panelforge.operators.checks import outside_window
 
     assert sorted(r.day for r in outside_window(df, F.col("day"), F.col("lo"), F.col("hi")).collect()) == [0, 3]
+
+
+def test_sets_that_share_words_are_compared_by_two(spark):
+    """The sets of a holder are met by two elements, so none of the pairs that share only the rarest is compared; nothing but the counted dictionary is broadcast."""
+    texts = [("d", "RADVEX RADVEX MONT MONT PLC INC"), ("d", "TARY"), ("e", "RADVEX RADVEX MONT TARY TARY"), (None, "MONT MONT TARY TARY INC")]
+    words = spark.createDataFrame([(d, w) for d, t in texts for w in t.split()], "doc string, w string")
+    named = ["Radvex", "RADVEX", "Radvex Inc", "Mont Radvex", "radvex mont plc", "Radvex Tary", "Mont Tary", "Radvex Mont Tary", "Tary Inc", "Plc"]
+    names = spark.createDataFrame([(n, w) for n in named for w in n.upper().split()] + [(None, "RADVEX")], "name string, w string")
+    want = sorted([("d", n) for n in ("Radvex", "RADVEX", "Radvex Inc", "Mont Radvex", "radvex mont plc")] + [("e", n) for n in ("Radvex", "RADVEX", "Radvex Tary")] + [(None, n) for n in ("Mont Tary", "Tary Inc")], key=str)
+    for most in (50_000, 2):
+        found = relational.contained_sets(words, names, "doc", "name", "w", ("INC", "PLC"), most)
+        assert found._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange") == (most > 2)
+        assert sorted(map(tuple, found.collect()), key=str) == want
