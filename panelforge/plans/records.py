@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from panelforge.functions import text
 from panelforge.functions.dates import window_end, window_start, window_text
 from panelforge.functions.ids import evidence_id
-from panelforge.operators import checks, corpus, entity, relational, temporal, topics
+from panelforge.operators import checks, corpus, entity, relational, temporal, topic_sampling, topics
 from panelforge.operators.coverage import NEVER, window_bounds
 from panelforge.plans.intervals_and_asof import article_firms, table, ticker_key
 from panelforge.plans.news import membership
@@ -260,12 +260,13 @@ def a19_exposure_summary(spark, sf_dir):
 
 def m1_trained_topics(spark, sf_dir):
     """The ten heaviest terms of each of 200 topics, of a model of each corpus version."""
-    rows = term_rows(spark, sf_dir).groupBy("corpus_version", "document", "token").agg(F.sum("term_count").alias("term_count"))
+    rows = table(spark, sf_dir, "lda_document_terms").where("article_id is not null and term_count >= 1 and term_id is not null and corpus_version is not null")
+    words = table(spark, sf_dir, "lda_vocabulary").select("term_id", F.upper(F.trim("token")).alias("token")).where("term_id is not null and token is not null").distinct()
     versions = [r.corpus_version for r in rows.select("corpus_version").distinct().orderBy("corpus_version").collect()]
     out = spark.createDataFrame([], "corpus_version smallint, topic_id int, term string, weight double")
     for version in versions:
-        counter, model = topics.train_topics(rows.where(F.col("corpus_version") == version).drop("corpus_version"), "document", 200)
-        out = out.unionByName(topics.topic_words(counter, model, 10).withColumn("corpus_version", F.lit(version).cast("smallint")))
+        found = topic_sampling.sampled_topics(rows.where(F.col("corpus_version") == version), words, "article_id", 200, 10)
+        out = out.unionByName(found.withColumn("corpus_version", F.lit(version).cast("smallint")))
     return out
 
 
